@@ -9,9 +9,15 @@ from pyspark.sql import functions as F
 
 from siftwell.llm.chat_format import digests, format_conversations
 from siftwell.llm.common import read_table
+from siftwell.llm.decontamination import contaminated
 from siftwell.llm.exact_dedup import exact_duplicates
+from siftwell.llm.html_text import main_text
+from siftwell.llm.language_id import languages_of
+from siftwell.llm.lm_scoring import cross_entropy_difference
 from siftwell.llm.near_dedup import near_duplicates
 from siftwell.llm.packing import pack_documents
+from siftwell.llm.pii import digests as span_digests
+from siftwell.llm.pii import find_personal_data
 from siftwell.llm.sharding import shard_documents
 
 
@@ -31,17 +37,50 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text(read_table(spark, sf_dir, "pages")).select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = shard_documents(read_table(spark, sf_dir, "documents"), 8)
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    good = read_table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
+    return cross_entropy_difference(read_table(spark, sf_dir, "documents"), good)
+
+
 def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return languages_of(read_table(spark, sf_dir, "documents"))
+
+
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return span_digests(find_personal_data(read_table(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_chat_formatting, op2_packing, op3_exact_dedup, op5_sharding, op8_minhash_near_dedup)
+    f.__name__: f
+    for f in (
+        op1_chat_formatting,
+        op2_packing,
+        op3_exact_dedup,
+        op4_html_extraction,
+        op5_sharding,
+        op6_decontamination,
+        op7_lm_scoring,
+        op8_minhash_near_dedup,
+        op9_language_id,
+        op10_pii,
+    )
 }
 
 ORACLE_SQL: dict[str, str] = {

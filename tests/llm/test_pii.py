@@ -1,0 +1,79 @@
+import hashlib
+import re
+
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from siftwell.llm.pii import KINDS, digests, find_personal_data, posterior, reliabilities, train
+
+SCHEMA = "doc_id long, text string, spans string, kind int"
+PLAIN = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+TEXTS = [
+    None, "", "no data", "a@b.cd@e.f", "a@b.c_d@e.f x@y", ".@d.e@f.g", "\U0001f600 me@x.org, 1.2.3.4.5.6.7.8 and 256.1.1.1 or 001.02.3.0255",
+    "4111 1111 1111 1111 4111-1111-1111-1112", "4111111111111111 1 2 3", "+1 (017) 555-7713 x", "+12 34", "+1234567890123456", "++49 30 123456 +1.",
+    "9" * 50000, "a" * 50000, "a.b" * 9000 + "@c" + ".d" * 9000, "1 " * 20000, "+1" + "()" * 20000, "1." * 9000, "mail me: joe (at) site (dot) com", "call (212) 555-0199 today", "at 2001:0db8:0000:0000:0000:ff00:0042:8329.",
+]
+
+
+def luhn(digits):
+    return sum(n if i % 2 == 0 else n * 2 - 9 * (n > 4) for i, n in enumerate(map(int, reversed(digits)))) % 10 == 0
+
+
+def base(text):
+    def ok(kind, m):
+        digits = re.sub("[^0-9]", "", m)
+        if kind == "ip":
+            return all(len(p.lstrip("0")) < 4 and int(p) <= 255 for p in m.split("."))
+        return kind == "email" or (16 <= len(digits) <= 19 and luhn(digits) if kind == "card" else 8 <= len(digits) <= 15)
+
+    return [f"{k}:{m.start()}:{m.end()}" for k in KINDS for m in re.finditer(PLAIN[k], text or "") if ok(k, m[0])]
+
+
+def check(spark, texts):
+    df = spark.createDataFrame([(k, t, "clash", 1) for k, t in enumerate(texts)], SCHEMA)
+    got = {r.doc_id: r for r in digests(find_personal_data(df)).collect()}
+    assert len(got) == len(texts)
+    for k, t in enumerate(texts):
+        want = base(t)
+        assert got[k].base_sha256 == hashlib.sha256(",".join(want).encode()).hexdigest(), (t, want, got[k].spans)
+        assert [got[k][f"n_{kind}"] for kind in KINDS] == [sum(s.startswith(kind) for s in want) for kind in KINDS]
+        assert set(want) <= set(got[k].spans.split(",")) or not want
+    return got
+
+
+def test_base_spans_as_the_plain_patterns_find_them(spark):
+    long = [t if t is None or len(t) < 9000 else t[:6000] for t in TEXTS]  # the plain patterns take quadratic time
+    got = check(spark, long)
+    assert got[19].spans == "email:9:32" and got[20].spans == "phone:5:19" and got[21].spans == "ip:3:42"
+    whole = spark.createDataFrame([(k, t, None, None) for k, t in enumerate(TEXTS)] + [(None, "a@b.cd", None, None)] * 2, SCHEMA)
+    assert digests(find_personal_data(whole)).count() == len(TEXTS) + 2
+    assert find_personal_data(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+@settings(max_examples=5, deadline=None)
+@given(st.lists(st.text("a@.+-_ 0123456789()%é\U0001f600", max_size=40), min_size=40, max_size=60))
+def test_random_texts(spark, texts):
+    check(spark, texts)
+
+
+def test_whole_table(spark, sf_dir):
+    check(spark, [r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()])
+
+
+def test_reliabilities_are_learned_without_labels():
+    import random
+
+    rng = random.Random(0)
+    good, counts, truth = [0.95, 0.9, 0.6, 0.85], {}, {}
+    for _ in range(4000):
+        y = rng.random() < 0.4
+        votes = tuple(2 if (rng.random() < g) == y else 0 for g in good)
+        counts[votes] = counts.get(votes, 0) + 1
+        truth.setdefault(votes, []).append(y)
+    share, chance = reliabilities(counts)
+    assert abs(share - 0.4) < 0.05
+    assert all(abs(chance[j][1][2] - g) < 0.06 for j, g in enumerate(good))
+    right = sum((posterior(v, share, chance) > 0.5) == y for v, ys in truth.items() for y in ys)
+    assert right > 0.9 * 4000
+    weights = train([(0, True, v, 1, n) for v, n in counts.items()])
+    assert weights["v002"] > weights["v000"]
