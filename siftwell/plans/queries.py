@@ -174,7 +174,7 @@ def text_and_not(spark, sf):
     return lexical.search(sections(spark, sf), "the AND of NOT was", 30).select("section_id", F.round("rank_score", 4).alias("rank_score"))
 
 
-@query(f"WITH {W} SELECT section_id, round(1.0 * ({tf('of', 'tw')} + {tf('the', 'tw')}) + 0.4 * ({tf('of', 'cw')} + {tf('the', 'cw')}), 4) AS rank_score FROM w WHERE contains(' ' || array_to_string(cw, ' ') || ' ', ' of the ') OR contains(' ' || array_to_string(tw, ' ') || ' ', ' of the ') ORDER BY rank_score DESC, section_id LIMIT 20")
+@query(f"WITH {W} SELECT section_id, round(1e0 * ({tf('of', 'tw')} + {tf('the', 'tw')}) + 4e-1 * ({tf('of', 'cw')} + {tf('the', 'cw')}), 4) AS rank_score FROM w WHERE contains(' ' || array_to_string(cw, ' ') || ' ', ' of the ') OR contains(' ' || array_to_string(tw, ' ') || ' ', ' of the ') ORDER BY rank_score DESC, section_id LIMIT 20")
 def text_phrase(spark, sf):
     return lexical.search(sections(spark, sf), '"of the"', rank="frequency").select("section_id", F.round("rank_score", 4).alias("rank_score"))
 
@@ -205,7 +205,7 @@ def text_suggest(spark, sf):
     return lexical.suggest(sections(spark, sf), "TH", 10)
 
 
-@query(f"WITH {W}, e AS (SELECT section_id, language, {tf('de', 'cw')} * 0.4 + {tf('de', 'tw')} AS r FROM w WHERE list_contains(cw, 'de') OR list_contains(tw, 'de')), p AS (SELECT *, row_number() OVER (PARTITION BY language ORDER BY r DESC, section_id) AS k FROM e WHERE language IN ('fr', 'es')) SELECT section_id, language, round(r, 4) AS rank_score FROM p WHERE k <= 10 ORDER BY r DESC, section_id LIMIT 10")
+@query(f"WITH {W}, e AS (SELECT section_id, language, {tf('de', 'cw')} * 4e-1 + {tf('de', 'tw')} AS r FROM w WHERE list_contains(cw, 'de') OR list_contains(tw, 'de')), p AS (SELECT *, row_number() OVER (PARTITION BY language ORDER BY r DESC, section_id) AS k FROM e WHERE language IN ('fr', 'es')) SELECT section_id, language, round(r, 4) AS rank_score FROM p WHERE k <= 10 ORDER BY r DESC, section_id LIMIT 10")
 def text_many_languages(spark, sf):
     return lexical.many_languages(sections(spark, sf), "de", ["fr", "es"], 10, rank="frequency").select("section_id", "language", F.round("rank_score", 4).alias("rank_score"))
 
