@@ -7,13 +7,18 @@ MinHash.  Bands of five minima or five maxima deal documents into buckets: at
 similarity 0.75 two documents share none of the 40 buckets with probability
 2e-5.
 
-Equal sets are one class.  Within buckets, classes are linked in three rounds,
-each confirmed on the full sets and followed by connected components: first
-every class with the smallest of its bucket, for some of the bands; then the
-same for all bands where the two are not yet connected; last, all pairs of a
-bucket that are still in different components.  So a bucket of thousands of
-near copies costs about one comparison for each, no link between components
-is lost to the choice of representatives, and no bucket is capped.
+Equal sets are one class.  Within buckets, classes are linked in rounds, each
+confirmed on the full sets and followed by connected components: first every
+class with the smallest of its bucket, for some of the bands; then the same for
+all bands where the two are not yet connected.  In buckets that still hold
+several components, every document is compared with the head of the largest
+one, and shingles that no other document there has are counted. Two documents
+can't share more than both have in common with the head, and beyond that no
+more than either has of shingles that are neither the head's nor its own. That
+bound settles most heavily edited copies without a comparison; the pairs that
+are left are compared. So a bucket of thousands of near copies costs a few
+comparisons for each, no link between components is lost to the choice of
+representatives, and no bucket is capped.
 """
 
 from __future__ import annotations
@@ -70,13 +75,13 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(sizes.astype(np.int64)), pa.array(digests, pa.binary()), lists], names=["doc_id", "n_shingles", "digest", "bands"])
 
 
-def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs with enough in common; rows (a, salt, b, text) come sorted, and the row of a itself, with b null, before those it is compared with."""
+def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What pairs have in common; rows (a, salt, b, text) come sorted, and the row of a itself, with b null, before those it is compared with."""
     left, left_of = None, None
     for batch in batches:
         a, b = batch.column(0).to_numpy(), batch.column(2).to_pylist()
         data, offsets = text_bytes(batch.column(3))
-        found: list[tuple[int, int]] = []
+        found: list[tuple[int, int, int, bool]] = []
         for i, j in chunks(offsets):
             sets, sizes = shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], WORDS)
             ends = np.cumsum(sizes).tolist()
@@ -86,13 +91,18 @@ def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     left, left_of = own.copy(), a[k]
                 elif left_of == a[k] and len(own) and len(left):
                     common = int((left[np.minimum(np.searchsorted(left, own), len(left) - 1)] == own).sum())
-                    if 100 * common >= SIMILARITY * (len(own) + len(left) - common):
-                        found.append((int(a[k]), b[k]))
-        yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([x for _, x in found], pa.int64())], names=["a", "b"])
+                    found.append((int(a[k]), b[k], common, 100 * common >= SIMILARITY * (len(own) + len(left) - common)))
+        columns = list(zip(*found, strict=True)) if found else [[]] * 4
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.bool_()), strict=True)], names=["a", "b", "common", "enough"])
 
 
 def confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Those of ``pairs`` (a, b) whose shingle sets are similar enough; ``texts`` has node and text.
+    """Those of ``pairs`` (a, b) whose shingle sets are similar enough."""
+    return compared(pairs, texts).where("enough").select("a", "b")
+
+
+def compared(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """a, b, common and enough of ``pairs`` (a, b): the size of what two sets share, and whether they are similar enough. ``texts`` has node and text.
 
     Each text is sent once for each document it is compared with; a document
     that many are compared with is sent to several tasks, by a salt.
@@ -102,7 +112,21 @@ def confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     left = salted.select("a", "salt").distinct().join(texts, F.col("a") == F.col("node")).select("a", "salt", F.lit(None).cast("long").alias("b"), "text")
     right = salted.join(texts, F.col("b") == F.col("node")).select("a", "salt", "b", "text")
     rows = left.unionByName(right).repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
-    return rows.mapInArrow(_confirmed, "a long, b long")
+    return rows.mapInArrow(_compared, "a long, b long, common long, enough boolean")
+
+
+def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        data, offsets = text_bytes(batch.column(1))
+        for i, j in chunks(offsets):
+            sets, sizes = shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], WORDS)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy()[i:j], sizes)), pa.array(sets.view(np.int64))], names=["node", "shingle"])
+
+
+def own_shingles(texts: DataFrame) -> DataFrame:
+    """node and own, the number of shingles that none of the other ``texts`` (node, text) has; nodes without such shingles are left out."""
+    held = texts.mapInArrow(_hashes, "node long, shingle long").groupBy("shingle").agg(F.min("node").alias("node"), F.max("node").alias("last"))
+    return held.where("node = last").groupBy("node").agg(F.count("*").alias("own"))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -164,14 +188,37 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     crossing = cut(of(of(stars.select(F.col("head").alias("a"), F.col("node").alias("b")).distinct(), "a", "ra"), "b", "rb").where("ra <> rb").select("a", "b"))
     if not crossing.isEmpty():
-        tested = crossing
         roots = joined(crossing)
-        placed = of(shared.select("bucket", "node", "n"), "node", "root")
-        open_ = placed.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("size")).where("lo <> hi and size > 2").select("bucket")
-        left_over = cut(placed.join(open_, "bucket"))
-        one, two = (left_over.select("bucket", *(F.col(c).alias(c + s) for c in ("node", "n", "root"))) for s in ("1", "2"))
-        rest = one.join(two, "bucket").where((F.col("node1") < F.col("node2")) & (F.col("root1") != F.col("root2")) & fits(F.col("n1"), F.col("n2")))
-        rest = cut(rest.select(F.col("node1").alias("a"), F.col("node2").alias("b")).distinct().join(tested, ["a", "b"], "left_anti"))
+
+    # Buckets that still hold several components; main is the smallest node of the largest one.
+    placed = of(shared.select("bucket", "node", "n"), "node", "root")
+    sizes = placed.groupBy("bucket", "root").agg(F.count("*").alias("size"))
+    mixed = sizes.groupBy("bucket").agg(F.max_by("root", F.struct("size", "root")).alias("main"), F.count("*").alias("roots"), F.sum("size").alias("all")).where("roots > 1 and all > 2").select("bucket", "main")
+    open_ = cut(placed.join(mixed, "bucket"))
+    if not open_.isEmpty():
+        nodes = cut(open_.select("main", "node").distinct())
+        with_main = nodes.select("node").unionByName(nodes.select(F.col("main").alias("node"))).distinct()
+        rare = own_shingles(texts.join(with_main.withColumnRenamed("node", "t"), F.col("node") == F.col("t"), "left_semi"))
+        same_as = compared(cut(nodes.where("main <> node").select(F.col("main").alias("a"), F.col("node").alias("b"))), texts)
+        known = open_.join(rare.withColumnRenamed("node", "r"), F.col("node") == F.col("r"), "left").join(same_as, (F.col("main") == F.col("a")) & (F.col("node") == F.col("b")), "left")
+        known = known.select("bucket", "node", "n", "root", "main", F.coalesce("own", F.lit(0)).alias("own"), F.when(F.col("main") == F.col("node"), F.col("n")).otherwise(F.coalesce("common", F.lit(0))).alias("with_main"))
+        # Nothing of its own can a document share; what is neither that nor in main, it can share with such shingles of another.
+        known = cut(known.withColumn("else", F.greatest(F.col("n") - F.col("with_main") - F.col("own"), F.lit(0))).where(100 * (F.col("n") - F.col("own")) >= SIMILARITY * F.col("n")))
+        # A pair is taken in the smallest of its buckets only; a node has one bucket for each band at most.
+        buckets_of = known.groupBy("node").agg(F.collect_list("bucket").alias("buckets")).withColumnRenamed("node", "of")
+        known = cut(known.join(buckets_of, F.col("node") == F.col("of")).drop("of"))
+        names = ("node", "n", "root", "own", "with_main", "else", "buckets")
+        # What lies outside a bucket's largest component against all that is in another component.
+        one = known.where("root <> main").select("bucket", *(F.col(c).alias(c + "1") for c in names))
+        two = known.select("bucket", "main", *(F.col(c).alias(c + "2") for c in names))
+        once = (F.col("root2") == F.col("main")) | (F.col("node1") < F.col("node2"))
+        low = lambda c: F.least(F.col(c + "1"), F.col(c + "2"))
+        common = F.least(low("with_main") + low("else"), F.col("n1") - F.col("own1"), F.col("n2") - F.col("own2"))
+        can = 100 * common >= SIMILARITY * (F.col("n1") + F.col("n2") - common)
+        here = F.col("bucket") == F.array_min(F.array_intersect("buckets1", "buckets2"))
+        rest = one.join(two, "bucket").where((F.col("root1") != F.col("root2")) & once & can & here)
+        rest = rest.select(F.least("node1", "node2").alias("a"), F.greatest("node1", "node2").alias("b")).distinct()
+        rest = cut(rest.join(crossing, ["a", "b"], "left_anti"))
         if not rest.isEmpty():
             roots = joined(rest)
 
