@@ -17,6 +17,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from difflib import SequenceMatcher
+from functools import partial
 from html import unescape
 
 import pyarrow as pa
@@ -24,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftwell.llm.common import cut, text_of
+from siftwell.llm.common import shuffle_partitions, text_of
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)(?:>|$)|<[!?][^>]*>?", re.S)
 _SPACE = re.compile(r"\s+")
@@ -156,21 +157,25 @@ def _sent(rows: list[dict]) -> pa.RecordBatch:
     return pa.RecordBatch.from_pylist(rows, _TYPES)
 
 
-def _differenced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pages (page_id, url, host, path, html) of a sorted partition, each compared with the next; edge is 1 for the first, 2 for the last and 3 for an only one."""
+def _differenced(batches: Iterator[pa.RecordBatch], borders: bool) -> Iterator[pa.RecordBatch]:
+    """Pages (page_id, url, host, path, html) of a sorted partition, each compared with the next: those at its borders, or all others.
+
+    Edge is 1 for the first, 2 for the last and 3 for an only one.
+    """
     part, last, first, rows = TaskContext.get().partitionId(), None, True, []
     for batch in batches:
         for *row, html in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             page = Page(tuple(row), [(t, m, False) for t, m in page_lines(html)])
             if last:
                 last.compare(page)
-                rows.append(last.row(part, 1 if first else 0))
+                if first == borders:
+                    rows.append(last.row(part, 1 if first else 0))
                 first = False
             last = page
             if len(rows) >= 256:
                 yield _sent(rows)
                 rows = []
-    if last:
+    if last and borders:
         rows.append(last.row(part, 3 if first else 2))
     if rows:
         yield _sent(rows)
@@ -213,7 +218,9 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
         text_of(html_col).alias("html"),
     )
     key = ["host", "path", F.col("page_id").asc_nulls_last(), "url"]
-    found = cut(rows.repartitionByRange(*key).sortWithinPartitions(*key).mapInArrow(_differenced, _OUT))
+    # A fixed number of partitions, so that both passes over the one exchange have the same borders.
+    ranged = rows.repartitionByRange(shuffle_partitions(pages.sparkSession), *key).sortWithinPartitions(*key)
+    inner = ranged.mapInArrow(partial(_differenced, borders=False), _OUT)
     # Two rows at most for each partition, in one task: it holds one page at a time.
-    edges = found.where("edge > 0").coalesce(1).sortWithinPartitions("part", "edge").mapInArrow(_joined, _OUT)
-    return found.where("edge = 0").unionByName(edges).select("page_id", "url", "text")
+    edges = ranged.mapInArrow(partial(_differenced, borders=True), _OUT).repartition(1).sortWithinPartitions("part", "edge").mapInArrow(_joined, _OUT)
+    return inner.unionByName(edges).select("page_id", "url", "text")
