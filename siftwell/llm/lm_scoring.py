@@ -8,8 +8,8 @@ both before it is scored.
 Documents are dealt into blocks.  A block sends the counts of its distinct
 n-grams, split by hash, to merging tasks; each of these sums the blocks' counts
 and answers every block with the corpus's counts of the n-grams that it asked
-for.  Both exchanges hold a block's n-grams as arrays, so nothing is sent for
-each token, nothing comes to the driver, and no table of the corpus's n-grams
+for.  Both exchanges hold a block's n-grams as arrays, sorted and packed by their
+differences, so nothing is sent for each token, nothing comes to the driver, and no table of the corpus's n-grams
 is held in one place.
 """
 
@@ -25,6 +25,7 @@ from siftwell.llm.shingles import chunks, mix, text_bytes, word_hashes
 
 PRIOR = 20.0  # words' worth of the unigram model in each context
 UNSEEN = 0.5  # added to each word's count
+KEY_BITS = 48  # of an n-gram's hash; the last one tells words from pairs
 _SINGLE, _START, _PAIR = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03), np.uint64(0xA24BAED4963EE407)
 
 
@@ -60,6 +61,32 @@ def _added(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray
     return distinct, np.stack([np.bincount(at, both[:, k], len(distinct)) for k in (0, 1)], axis=1).astype(np.int64)
 
 
+def _key(hashes: np.ndarray | np.uint64, word: bool) -> np.ndarray:
+    return (hashes >> np.uint64(64 - KEY_BITS)) & ~np.uint64(1) | np.uint64(word)
+
+
+def _packed(keys: np.ndarray) -> bytes:
+    """Sorted distinct keys as the steps between them, in four bytes each where they fit."""
+    steps = np.diff(keys, prepend=np.uint64(0))
+    small = not len(steps) or int(steps[1:].max(initial=0)) < 1 << 32
+    return bytes([4 if small else 8]) + (keys[:1].tobytes() + steps[1:].astype(np.uint32).tobytes() if small else steps.tobytes())
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    if data[0] == 8:
+        return np.cumsum(np.frombuffer(data, np.uint64, offset=1), dtype=np.uint64)
+    if len(data) == 1:
+        return np.zeros(0, np.uint64)
+    first, steps = np.frombuffer(data, np.uint64, 1, 1), np.frombuffer(data, np.uint32, offset=9)
+    return np.cumsum(np.concatenate([first, steps.astype(np.uint64)]), dtype=np.uint64)
+
+
+def _cuts(keys: np.ndarray, parts: int) -> np.ndarray:
+    """Where each part's keys begin in sorted keys, and their end: parts are ranges of keys."""
+    part = ((keys >> np.uint64(KEY_BITS - 32)) * np.uint64(parts)) >> np.uint64(32)
+    return np.searchsorted(part, np.arange(parts + 1, dtype=np.uint64))
+
+
 def _block_counts(texts: pa.Array, target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     data, offsets = text_bytes(texts)
     keys, counts = [], []
@@ -67,7 +94,7 @@ def _block_counts(texts: pa.Array, target: np.ndarray) -> tuple[np.ndarray, np.n
         single, before, pair, per_text = grams(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
         mine = np.repeat(target[i:j], per_text)
         starts = before == _START
-        hashes = np.concatenate([single | np.uint64(1), before[starts] | np.uint64(1), pair & ~np.uint64(1)])  # the last bit tells words from pairs
+        hashes = np.concatenate([_key(single, True), _key(before[starts], True), _key(pair, False)])
         of_target = np.concatenate([mine, mine[starts], mine])
         k, at, n = np.unique(hashes, return_inverse=True, return_counts=True)
         keys.append(k)
@@ -79,15 +106,13 @@ def _count(parts: int):
     def count(table: pa.Table) -> pa.Table:
         _, texts, target = _texts(table)
         keys, counts = _block_counts(texts, target)
-        part = ((keys >> np.uint64(8)) % np.uint64(parts)).astype(np.int32)
-        order = np.argsort(part, kind="stable")
-        cuts = np.searchsorted(part[order], np.arange(parts + 1))
-        slices = [order[cuts[p] : cuts[p + 1]] for p in range(parts)]
+        cuts = _cuts(keys, parts)
+        slices = [slice(cuts[p], cuts[p + 1]) for p in range(parts)]
         return pa.table(
             {
                 "part": pa.array(np.arange(parts, dtype=np.int32)),
                 "block": pa.array(np.full(parts, table["block"][0].as_py(), np.int32)),
-                "keys": pa.array([keys[s].tobytes() for s in slices], pa.binary()),
+                "keys": pa.array([_packed(keys[s]) for s in slices], pa.binary()),
                 "background": pa.array([counts[s, 0].astype(np.uint32).tobytes() for s in slices], pa.binary()),
                 "target": pa.array([counts[s, 1].astype(np.uint32).tobytes() for s in slices], pa.binary()),
             }
@@ -98,12 +123,12 @@ def _count(parts: int):
 
 def _merge(table: pa.Table) -> pa.Table:
     """Sums of the counts of one part's n-grams, for each block those that it sent, in its order; and the part's words and tokens."""
-    keys = [np.frombuffer(k, np.uint64) for k in table["keys"].to_pylist()]
+    keys = [_unpacked(k) for k in table["keys"].to_pylist()]
     sent = [np.frombuffer(k, np.uint32).astype(np.int64) for name in ("background", "target") for k in table[name].to_pylist()]
     n = len(keys)
     distinct, at = np.unique(np.concatenate(keys), return_inverse=True)
     total = [np.bincount(at, np.concatenate(sent[k * n : (k + 1) * n]), len(distinct)).astype(np.int64) for k in (0, 1)]
-    word = (distinct & np.uint64(1) == 1) & (distinct != _START | np.uint64(1))
+    word = (distinct & np.uint64(1) == 1) & (distinct != _key(_START, True))
     ends = np.cumsum([len(k) for k in keys])
     answers = [[t[at[e - len(k) : e]].tobytes() for k, e in zip(keys, ends.tolist(), strict=True)] for t in total]
     same = lambda x: pa.array(np.full(n, x, np.int64))
@@ -115,23 +140,19 @@ def _loss(pair: np.ndarray, context: np.ndarray, word: np.ndarray, tokens: np.nd
     return -np.log((pair + prior * unigram) / (np.maximum(context, pair) + prior))
 
 
-def _score(parts: int, prior: float):
+def _score(prior: float):
     def score(docs: pa.Table, answers: pa.Table) -> pa.Table:
         ids, texts, target = _texts(docs)
-        keys, counts = _block_counts(texts, target)
-        part = ((keys >> np.uint64(8)) % np.uint64(parts)).astype(np.int32)
-        order = np.argsort(part, kind="stable")
+        keys, _ = _block_counts(texts, target)
         rows = sorted(zip(*(answers[c].to_pylist() for c in ("part", "background", "target", "words", "background_tokens", "target_tokens")), strict=True), key=lambda r: r[0])
-        total = np.zeros_like(counts)
-        for k in (0, 1):
-            total[order, k] = np.frombuffer(b"".join(r[1 + k] for r in rows), np.int64)
+        total = np.stack([np.frombuffer(b"".join(r[1 + k] for r in rows), np.int64) for k in (0, 1)], axis=1)
         words, all_tokens = sum(r[3] for r in rows), np.array([sum(r[4 + k] for r in rows) for k in (0, 1)])
         data, offsets = text_bytes(texts)
         n_tokens, losses = np.zeros(len(ids), np.int64), np.zeros((len(ids), 2))
         for i, j in chunks(offsets):
             single, before, pair, per_text = grams(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
             doc = np.repeat(np.arange(j - i), per_text)
-            at = [np.searchsorted(keys, x) for x in (single | np.uint64(1), before | np.uint64(1), pair & ~np.uint64(1))]
+            at = [np.searchsorted(keys, x) for x in (_key(single, True), _key(before, True), _key(pair, False))]
             # How often the document itself has each of its n-grams.
             own = []
             for x in at:
@@ -161,14 +182,16 @@ def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, id_col: str
     at white space, A-Z lower-cased.  A null or empty text has no tokens and
     null losses; a null id is in the background only.  Rows that repeat an id
     are documents of their own.  Other columns are not read; an empty table gives an empty result.
-    ``blocks`` is the session's number of shuffle partitions unless given.
+    ``blocks`` is twice the session's number of shuffle partitions unless given;
+    a block's documents and their distinct n-grams fit a task.
     """
-    parts = blocks or shuffle_partitions(docs.sparkSession)
+    parts = shuffle_partitions(docs.sparkSession)
+    blocks = blocks or 2 * parts
     key, text = F.col(id_col).cast("long"), F.col(text_col)
     own = docs.select(key.alias("doc_id"), text.alias("text"), F.lit(True).alias("is_doc"))
     named = target_ids.select(key.alias("doc_id")).where("doc_id is not null").distinct().select("doc_id", F.lit(None).cast("string").alias("text"), F.lit(False).alias("is_doc"))
     place = F.xxhash64("doc_id", F.when(F.col("doc_id").isNull(), F.col("text")))
-    rows = own.unionByName(named).withColumn("block", F.pmod(place, F.lit(parts)).cast("int"))
+    rows = own.unionByName(named).withColumn("block", F.pmod(place, F.lit(blocks)).cast("int"))
     asked = rows.groupBy("block").applyInArrow(_count(parts), "part int, block int, keys binary, background binary, target binary")
     answers = asked.groupBy("part").applyInArrow(_merge, "block int, part int, background binary, target binary, words long, background_tokens long, target_tokens long")
-    return rows.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_score(parts, prior), "doc_id long, n_tokens long, target_loss double, background_loss double, score double")
+    return rows.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_score(prior), "doc_id long, n_tokens long, target_loss double, background_loss double, score double")
