@@ -1,21 +1,20 @@
-"""Benchmark decontamination by rare n-gram seeds and Smith-Waterman alignment.
+"""Benchmark decontamination by n-gram seeds and Smith-Waterman alignment.
 
-A first pass counts in how many documents each word n-gram of the test items
-occurs.  Of every few neighbouring n-grams of an item the rarest becomes a
-seed, so each stretch of an item has one, however common its words are.  A
-second pass looks the seeds up in every document, cuts a window about each
-place that a seed points to, and aligns window and item word by word.  Copies
-with words changed, left out or put in keep a high score.
+All n-grams of the test items are seeds.  The threshold bounds how many edits a
+copy can have, and so how many n-grams of which length every copy keeps; each
+item takes the longest n-gram of which a copy keeps one at least.  One pass looks
+the seeds up in every document, keeps the stretches that hold as many of an
+item's seeds as a copy must, cuts a window about each, and aligns window and item
+word by word.  Copies with words changed, left out or put in keep a high score.
 
 Test items are a stated query set: they are worked on in blocks of a bounded
 number of n-grams, and each block's seeds go to every task.  Documents are
-never shuffled; only counts of the items' n-grams are.
+never shuffled.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -25,49 +24,48 @@ from pyspark.sql import functions as F
 from siftwell.llm.common import SPACE
 from siftwell.llm.shingles import chunks, gram_hashes, text_bytes, word_hashes
 
-GRAM = 4
-SEED_WINDOW = 3  # neighbouring n-grams of which the rarest is a seed
+GRAM = 4  # words of a seed at most
 MATCH, MISMATCH, GAP = 2, -1, -1
 THRESHOLD = 0.6  # share of the score that the whole item has
 LEAST_WORDS = 5  # of an item that edited copies are found of; shorter items match exactly
 BLOCK_GRAMS = 1 << 20
 
 
-@dataclass
-class Items:
-    ids: list[int]
-    words: list[np.ndarray]  # hashes
-    keys: np.ndarray  # sorted n-gram hashes
-    owners: list[np.ndarray]  # by key: rows of item, place
-
-
 def _words(text: str) -> np.ndarray:
     data, offsets = text_bytes(pa.array([text]))
     return word_hashes(data, offsets)[0]
 
 
-def _block(items: list[tuple[int, str]]) -> tuple[list[int], list[np.ndarray], dict[int, list[tuple[int, int]]]]:
-    ids, words, grams = [], [], {}
-    for item, text in items:
-        w = _words(text)
-        if not len(w):
-            continue
-        n = min(GRAM, len(w))
-        for at, h in enumerate(gram_hashes(w, n).tolist()):
-            grams.setdefault(h, []).append((len(ids), at))
-        ids.append(item)
-        words.append(w)
-    return ids, words, grams
+def least_score(length: int, threshold: float) -> int:
+    """The score that a copy of an item of ``length`` words has at least."""
+    least = max(1, int(MATCH * length * threshold) - 1)
+    while least / (MATCH * length) < threshold:
+        least += 1
+    return least
 
 
-def choose_seeds(words: list[np.ndarray], counts: dict[int, int]) -> dict[int, list[tuple[int, int]]]:
-    """Seeds as n-gram hash to (item, place): of every SEED_WINDOW neighbouring n-grams the one in the fewest documents."""
+def seed_size(length: int, threshold: float) -> tuple[int, int, int]:
+    """Of an item of ``length`` words: words of a seed, seeds that every copy keeps, and edits that a copy has at most.
+
+    An edit costs one, so a copy with M words matched has at most 2 M - s edits for the
+    least score s, and its matches lie in one run more than that.  Each run of r words
+    keeps r - n + 1 n-grams; for n > 1 the fewest are kept where all words match.
+    """
+    if length < LEAST_WORDS:
+        return length, 1, 0
+    least = least_score(length, threshold)
+    edits = max(0, MATCH * length - least)
+    for n in range(min(GRAM, length), 1, -1):
+        if length - (n - 1) * (edits + 1) > 0:
+            return n, length - (n - 1) * (edits + 1), edits
+    return 1, -(-least // MATCH), edits
+
+
+def choose_seeds(words: list[np.ndarray], sizes: dict[int, int]) -> dict[int, list[tuple[int, int]]]:
+    """Seeds as n-gram hash to (item, place): all n-grams of an item, of the size for its length or else GRAM words."""
     seeds: dict[int, list[tuple[int, int]]] = {}
     for item, w in enumerate(words):
-        grams = gram_hashes(w, min(GRAM, len(w))).tolist()
-        rare = [(counts.get(h, 0), h, at) for at, h in enumerate(grams)]
-        chosen = {min(rare[i : i + SEED_WINDOW]) for i in range(max(1, len(rare) - SEED_WINDOW + 1))}
-        for _, h, at in chosen:
+        for at, h in enumerate(gram_hashes(w, sizes.get(len(w), min(GRAM, len(w)))).tolist()):
             seeds.setdefault(h, []).append((item, at))
     return seeds
 
@@ -96,9 +94,8 @@ def align(item: np.ndarray, window: np.ndarray) -> tuple[int, int, int]:
     return best
 
 
-def windows(places: list[tuple[int, int]], words: int, length: int) -> list[tuple[int, int]]:
-    """Ranges of a document's words that hold an item of ``length`` words by its seeds (place in document, place in item)."""
-    slack = length // 4 + 2
+def windows(places: list[tuple[int, int]], words: int, length: int, slack: int) -> list[tuple[int, int]]:
+    """Ranges of a document's words that hold an item of ``length`` words with ``slack`` words put in, by its seeds (place in document, place in item)."""
     out: list[tuple[int, int]] = []
     for lo, hi in sorted((max(0, d - i - slack), min(words, d - i + length + slack)) for d, i in places):
         if out and lo <= out[-1][1]:
@@ -108,6 +105,26 @@ def windows(places: list[tuple[int, int]], words: int, length: int) -> list[tupl
     return out
 
 
+def dense(pair: np.ndarray, place: np.ndarray, reach: np.ndarray, need: np.ndarray) -> np.ndarray:
+    """Which seed hits lie in a stretch of ``reach`` words that has hits at ``need`` places or more of its document and item.
+
+    Hits are sorted by pair of document and item, then place.
+    """
+    if not len(pair):
+        return np.zeros(0, bool)
+    new = np.ones(len(pair), bool)
+    new[1:] = (pair[1:] != pair[:-1]) | (place[1:] != place[:-1])
+    first = np.flatnonzero(new)  # one hit for each place
+    group = np.cumsum(np.concatenate(([0], pair[first][1:] != pair[first][:-1])))
+    key = group * (int(place.max()) + int(reach.max()) + 1) + place[first]
+    end = np.searchsorted(key, key + reach[first])  # groups lie further apart than any reach
+    full = np.flatnonzero(end - np.arange(len(first)) >= need[first])
+    marks = np.zeros(len(first) + 1, np.int64)
+    np.add.at(marks, full, 1)
+    np.add.at(marks, end[full], -1)
+    return (np.cumsum(marks[:-1]) > 0)[np.cumsum(new) - 1]
+
+
 def _lookup(keys: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Places in ``hashes`` that are among ``keys``, and their places there. A small table of bits spares most of the searches."""
     bits = np.zeros(1 << 20, bool)
@@ -155,31 +172,19 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
 
 
 def _search(docs: DataFrame, items: list[tuple[int, str]], threshold: float) -> DataFrame:
-    ids, words, grams = _block(items)
-    lengths = sorted({min(GRAM, len(w)) for w in words})
-    keys = np.sort(np.array(list(grams), np.uint64))
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(len(keys), np.int64)
-        for batch in batches:
-            data, offsets = text_bytes(batch.column(0))
-            for i, j in chunks(offsets):
-                w, per_text, _, _ = word_hashes(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                for n in lengths:
-                    hashes, text, _ = _grams_of(w, per_text, n)
-                    at, key = _lookup(keys, hashes)
-                    counts += np.bincount(np.unique(text[at] * len(keys) + key) % len(keys), minlength=len(keys))
-        some = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(keys[some].view(np.int64)), pa.array(counts[some])], names=["gram", "docs"])
-
+    split = [(item, w) for item, text in items if len(w := _words(text))]
+    ids, words = [item for item, _ in split], [w for _, w in split]
+    sized = [seed_size(len(w), threshold) for w in words]
+    seeds = choose_seeds(words, {len(w): n for w, (n, _, _) in zip(words, sized, strict=True)})
     empty = docs.sparkSession.createDataFrame([], "doc_id long, item_id long, score double, word_start long, word_end long")
-    if not len(keys):
+    if not seeds:
         return empty
-    counted = docs.select("text").mapInArrow(count, "gram long, docs long").groupBy("gram").agg(F.sum("docs").alias("docs"))
-    # One row per n-gram of the block at most.
-    seeds = choose_seeds(words, {r.gram & (1 << 64) - 1: r.docs for r in counted.toLocalIterator()})
-    seed_keys = np.sort(np.array(list(seeds), np.uint64))
-    owners = [seeds[h] for h in seed_keys.tolist()]
+    keys = np.sort(np.array(list(seeds), np.uint64))
+    owners = [seeds[h] for h in keys.tolist()]
+    sizes, first_owner = np.array([len(x) for x in owners]), np.cumsum([0, *(len(x) for x in owners)])
+    owner_item, owner_place = np.array([x for own in owners for x in own], np.int64).T
+    length, (gram, need, edits) = np.array([len(w) for w in words]), np.array(sized).T
+    least = [least_score(n, threshold if n >= LEAST_WORDS else 1) for n in length.tolist()]
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -190,21 +195,29 @@ def _search(docs: DataFrame, items: list[tuple[int, str]], threshold: float) ->
                 w, per_text, _, _ = word_hashes(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 first = np.cumsum(per_text) - per_text
                 hits: dict[tuple[int, int], list[tuple[int, int]]] = {}
-                for n in lengths:
+                for n in set(gram.tolist()):
                     hashes, text, place = _grams_of(w, per_text, n)
-                    at, key = _lookup(seed_keys, hashes)
-                    for t, p, k in zip(text[at].tolist(), place[at].tolist(), key.tolist(), strict=True):
-                        for item, q in owners[k]:
-                            if min(GRAM, len(words[item])) == n:
-                                hits.setdefault((t, item), []).append((p, q))
+                    at, key = _lookup(keys, hashes)
+                    # Each hit once for each place in an item that has the seed.
+                    times = sizes[key]
+                    own = np.repeat(first_owner[key] - np.cumsum(times) + times, times) + np.arange(int(times.sum()))
+                    t, p, item, q = np.repeat(text[at], times), np.repeat(place[at], times), owner_item[own], owner_place[own]
+                    pair = t * len(words) + item
+                    order = np.lexsort((p, pair))
+                    order = order[gram[item[order]] == n]
+                    t, p, item, q, pair = t[order], p[order], item[order], q[order], pair[order]
+                    keep = dense(pair, p, length[item] + edits[item], need[item])
+                    for a, b, c, d in zip(t[keep].tolist(), item[keep].tolist(), p[keep].tolist(), q[keep].tolist(), strict=True):
+                        hits.setdefault((a, b), []).append((c, d))
                 for (t, item), places in hits.items():
                     own, best = w[first[t] : first[t] + per_text[t]], (0, 0, 0)
-                    for lo, hi in windows(places, len(own), len(words[item])):
+                    for lo, hi in windows(places, len(own), len(words[item]), int(edits[item])):
+                        if MATCH * np.isin(words[item], own[lo:hi]).sum() < least[item]:
+                            continue  # too few of the item's words are there
                         score, a, b = align(words[item], own[lo:hi])
                         best = max(best, (score, lo + a, lo + b), key=lambda x: x[0])
-                    share = best[0] / (MATCH * len(words[item]))
-                    if share >= (threshold if len(words[item]) >= LEAST_WORDS else 1):
-                        out.append((doc_ids[i + t], ids[item], share, best[1], best[2]))
+                    if best[0] >= least[item]:
+                        out.append((doc_ids[i + t], ids[item], best[0] / (MATCH * len(words[item])), best[1], best[2]))
             columns = list(zip(*out, strict=True)) if out else [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()), strict=True)], names=["doc_id", "item_id", "score", "word_start", "word_end"])
 

@@ -75,3 +75,22 @@ def test_empty_tables(spark):
     some = spark.createDataFrame([(1, "a b c d e f", 1)] * 2, ITEMS)
     assert contaminated(docs, some).count() == 0 and contaminated(spark.createDataFrame([(1, "a b c", "", 1)], DOCS), items).count() == 0
     assert contaminated(spark.createDataFrame([(1, "x a b c d e f y", "", 1)] * 2, DOCS), some).count() == 2
+
+
+def test_copies_without_a_common_4_gram_are_found(spark):
+    rng = random.Random(3)
+    items, docs, want = [], [], set()
+    for k, n in enumerate([5, 6, 20, 40, 60] * 3):
+        w = [f"i{k}x{j}" for j in range(n)]
+        items.append((k, " ".join(w), 0))
+        edited = [[("new" if j % step == step - 1 else x) for j, x in enumerate(w)] for step in (4, 5, 6)]  # every 4th, 5th, 6th word changed
+        edited += [[y for j, x in enumerate(w) for y in ([x, "put"] if j % 2 else [x])], [x for j, x in enumerate(w) if j % 4 != 3]]  # a word put in after every second; every 4th left out
+        edited += [[y for x in w for y in ([x, "in"] if rng.random() < 0.5 else [x])], [x if rng.random() < 0.85 else "other" for x in w]]
+        for e in edited:
+            d = len(docs)
+            docs.append((d, " ".join(["before"] * 30 + e + ["after"] * 30), "", 0))
+            if brute_align(w, docs[-1][1].split()) >= 0.6 * MATCH * n - 1e-9:
+                want.add((d, k))
+    assert len(want) > 90
+    got = contaminated(spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, ITEMS)).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == want and len(got) == len(want)
