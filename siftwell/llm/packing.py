@@ -15,6 +15,8 @@ remainders of one batch in memory; nothing is shuffled.
 from __future__ import annotations
 
 import base64
+import json
+import os
 from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
 from functools import lru_cache
@@ -38,7 +40,9 @@ def encoder(vocabulary: str):
 
     A ``.json`` file is read by tokenizers and a ``.tiktoken`` file by tiktoken,
     which gives the same ids of the same vocabulary in a fraction of the time.
-    Strings of special tokens in a text are ordinary text.
+    Added tokens are in the ``.json`` file alone, so a ``.tiktoken`` file has
+    them from the one of its name beside it, if any. Their strings in a text get
+    their ids.
     """
     import public_tokenizers
 
@@ -47,14 +51,17 @@ def encoder(vocabulary: str):
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = True
         return lambda text: np.array(tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
     import tiktoken
 
     with open(path, "rb") as lines:
         ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
-    encoding = tiktoken.Encoding("file", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    return lambda text: encoding.encode_to_numpy(text, disallowed_special=())
+    added, beside = {}, path.removesuffix(".tiktoken") + ".json"
+    if os.path.exists(beside):
+        with open(beside, encoding="utf-8") as file:
+            added = {token["content"]: token["id"] for token in json.load(file)["added_tokens"]}
+    encoding = tiktoken.Encoding("file", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=added)
+    return lambda text: encoding.encode_to_numpy(text, allowed_special="all")
 
 
 class Packer:

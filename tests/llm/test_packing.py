@@ -72,6 +72,17 @@ def test_both_readers_of_the_vocabulary_agree(text):
     assert encoder("byte_bpe_50k.json")(text).tolist() == encoder("byte_bpe_50k.tiktoken")(text).tolist()
 
 
+@pytest.mark.parametrize("text", ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>\n y", "<|endoftext|", "It's  1 <|ENDOFTEXT|>  <|endoftext|>'s"])
+def test_ids_are_those_of_the_plain_tokenizer(spark, text):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    want = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")).encode(text, add_special_tokens=False).ids
+    assert encoder("byte_bpe_50k.tiktoken")(text).tolist() == encoder("byte_bpe_50k.json")(text).tolist() == want
+    (row,) = pack_documents(spark.createDataFrame([(1, text, 0, "")], SCHEMA)).collect()
+    assert np.frombuffer(row.ids, "<u4").tolist() == [*want, 1]
+
+
 def test_whole_table(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     encode = encoder("byte_bpe_50k.json")
