@@ -16,10 +16,10 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from difflib import SequenceMatcher
 from functools import partial
 from html import unescape
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -41,6 +41,7 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 #: Words in class, id or role that mark furniture.
 FURNITURE = frozenset("ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion sidebar side menu nav navbar navigation breadcrumb breadcrumbs header masthead footer cookie cookies consent notice notices alert popup modal newsletter subscribe subscription share sharing social related recommended comment comments commentlist disqus respond reply replies pagination pager toolbar search login signup complementary contentinfo".split())
 COPY = 0.9  # share of common lines from which two pages are copies
+TABLE = 4_000_000  # cells of a dynamic program that is held whole
 _OUT = "page_id long, url string, text string, part int, edge int, host string, lines array<struct<text:string,main:boolean,shared:boolean>>, path string"
 
 
@@ -96,7 +97,7 @@ def page_lines(html: str) -> list[tuple[str, bool]]:
 
 
 def common(a: list[str], b: list[str]) -> list[tuple[int, int]]:
-    """Places of the lines of a longest common subsequence: equal ends first, then the rows of the dynamic program as far as they differ."""
+    """Places of the lines of a longest common subsequence: equal ends first, then the dynamic program as far as they differ."""
     lo, pairs = 0, []
     while lo < min(len(a), len(b)) and a[lo] == b[lo]:
         pairs.append((lo, lo))
@@ -107,17 +108,38 @@ def common(a: list[str], b: list[str]) -> list[tuple[int, int]]:
         pairs.append((end_a, end_b))
     known = set(a[lo:end_a]) & set(b[lo:end_b])  # other lines can't be in it
     x, y = ([i for i in range(lo, e) if s[i] in known] for s, e in ((a, end_a), (b, end_b)))
-    if len(x) * len(y) > 4_000_000:  # huge pages: matching blocks instead of the whole table
-        blocks = SequenceMatcher(None, [a[i] for i in x], [b[j] for j in y], autojunk=False).get_matching_blocks()
-        return pairs + [(x[m.a + k], y[m.b + k]) for m in blocks for k in range(m.size)]
-    best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
-    for i in range(len(x) - 1, -1, -1):
-        for j in range(len(y) - 1, -1, -1):
-            best[i][j] = best[i + 1][j + 1] + 1 if a[x[i]] == b[y[j]] else max(best[i + 1][j], best[i][j + 1])
-    i = j = 0
-    while i < len(x) and j < len(y):
-        if a[x[i]] == b[y[j]]:
-            pairs.append((x[i], y[j]))
+    return pairs + [(x[i], y[j]) for i, j in _longest([a[i] for i in x], [b[j] for j in y])]
+
+
+def _lengths(a: list[str], b: list[str]) -> np.ndarray:
+    """Length of the longest common subsequence of ``a`` and each of the len(b) + 1 beginnings of ``b``: a row of the dynamic program as bits of one number."""
+    places: dict[str, int] = {}
+    for j, line in enumerate(b):
+        places[line] = places.get(line, 0) | 1 << j
+    full = (1 << len(b)) - 1
+    row = full  # a zero where the length grows
+    for line in a:
+        if line in places:
+            same = row & places[line]
+            row = (row + same | row - same) & full
+    bits = np.unpackbits(np.frombuffer(row.to_bytes(len(b) // 8 + 1, "little"), np.uint8), bitorder="little")[: len(b)]
+    return np.concatenate(([0], np.cumsum(1 - bits.astype(np.int64))))
+
+
+def _longest(a: list[str], b: list[str]) -> list[tuple[int, int]]:
+    """Pairs of a longest common subsequence. Tables of more than TABLE cells are halved at the place where both halves' lengths add up to the most (Hirschberg)."""
+    if len(a) * len(b) > TABLE and min(len(a), len(b)) > 1:
+        half = len(a) // 2
+        cut = int((_lengths(a[:half], b) + _lengths(a[half:][::-1], b[::-1])[::-1]).argmax())
+        return _longest(a[:half], b[:cut]) + [(half + i, cut + j) for i, j in _longest(a[half:], b[cut:])]
+    best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i in range(len(a) - 1, -1, -1):
+        for j in range(len(b) - 1, -1, -1):
+            best[i][j] = best[i + 1][j + 1] + 1 if a[i] == b[j] else max(best[i + 1][j], best[i][j + 1])
+    pairs, i, j = [], 0, 0
+    while i < len(a) and j < len(b):
+        if a[i] == b[j]:
+            pairs.append((i, j))
             i, j = i + 1, j + 1
         elif best[i + 1][j] >= best[i][j + 1]:
             i += 1

@@ -1,8 +1,10 @@
+import random
 import re
 from html import unescape
 
 import pytest
 
+from siftwell.llm import html_text
 from siftwell.llm.html_text import common, main_text, page_lines
 
 SCHEMA = "page_id long, url string, html string, text string, host int"
@@ -34,6 +36,28 @@ def test_common_is_a_longest_subsequence():
     assert len(pairs) == 6
 
 
+def test_common_is_longest_on_huge_pages():
+    # Matching blocks take the long run first and lose the many short ones on both sides of it.
+    run, rest = [f"r{k}" for k in range(30)], [f"s{k}" for k in range(2500)]
+    a = ["x", *run, *(y for k, s in enumerate(rest) for y in (s, f"n{k}")), "y"]
+    b = ["z", *(y for k, s in enumerate(rest) for y in (f"n{k}", s)), *run, "w"]
+    pairs = sorted(common(a, b))
+    assert all(a[i] == b[j] for i, j in pairs) and all(p < q and r < s for (p, r), (q, s) in zip(pairs, pairs[1:], strict=False))
+    assert len(pairs) == 2500
+
+
+@pytest.mark.parametrize("table", [1, 8, 50])
+def test_halved_tables_give_the_same_length(monkeypatch, table):
+    rng = random.Random(7)
+    for _ in range(150):
+        a, b = ([rng.choice("abcdef") for _ in range(rng.randrange(30))] for _ in range(2))
+        monkeypatch.setattr(html_text, "TABLE", 10**6)
+        want = len(common(a, b))
+        monkeypatch.setattr(html_text, "TABLE", table)
+        pairs = sorted(common(a, b))
+        assert len(pairs) == want and all(a[i] == b[j] for i, j in pairs) and all(p < q and r < s for (p, r), (q, s) in zip(pairs, pairs[1:], strict=False))
+
+
 @pytest.mark.parametrize("partitions", ["1", "3", "8"])
 def test_differencing_removes_shared_lines(spark, partitions):
     rows = [(k, f"http://h.example/{k:03d}.html?q={k}", f"<div>Menu</div><div>Own {k}</div><div>Our shop</div><p>Story {k}</p><div>Imprint</div>", "x", 1) for k in range(40)]
