@@ -5,18 +5,18 @@ whether it lies in an article or main element.  Pages are then range-partitioned
 by host and URL path, so that a page's nearest pages stand beside it; the lines
 of neighbours are aligned by longest common subsequence, and lines that a page
 shares with a neighbour are deleted.  Lines within an article stay: those that
-pages share there are quotations or copies, not furniture.  So do all
-lines of two pages that are copies of each other.
+pages share there are quotations or copies, not furniture.  Pages with
+equal lines are copies: a run of them counts as one page, compared with the
+nearest page on either side that is not a copy.
 
-A page at the border of a partition is compared with the page beyond it in a
-second pass over border pages alone, two for each partition.
+A run at the border of a partition goes on or is compared beyond it in a
+second pass over border runs alone, one page of two for each partition.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import partial
 from html import unescape
 
 import numpy as np
@@ -40,9 +40,14 @@ BLOCKS = NESTED | frozenset("p h1 h2 h3 h4 h5 h6 li br hr dt dd pre address capt
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Words in class, id or role that mark furniture.
 FURNITURE = frozenset("ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion sidebar side menu nav navbar navigation breadcrumb breadcrumbs header masthead footer cookie cookies consent notice notices alert popup modal newsletter subscribe subscription share sharing social related recommended comment comments commentlist disqus respond reply replies pagination pager toolbar search login signup complementary contentinfo".split())
-COPY = 0.9  # share of common lines from which two pages are copies
+COPY = 0.9  # share of common lines from which two pages are versions of one article
 TABLE = 4_000_000  # cells of a dynamic program that is held whole
-_OUT = "page_id long, url string, text string, part int, edge int, host string, lines array<struct<text:string,main:boolean,shared:boolean>>, path string"
+_PAGE = "page_id long, url string, text string, part int, edge int"
+_BORDER = "part int, edge int, host string, lines array<struct<text:string,main:boolean,shared:boolean>>"
+_TEXT = "part int, edge int, text string"
+_PAGE_TYPES = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("part", pa.int32()), ("edge", pa.int32())])
+_BORDER_TYPES = pa.schema([("part", pa.int32()), ("edge", pa.int32()), ("host", pa.string()), ("lines", pa.list_(pa.struct([("text", pa.string()), ("main", pa.bool_()), ("shared", pa.bool_())])))])
+_TEXT_TYPES = pa.schema([("part", pa.int32()), ("edge", pa.int32()), ("text", pa.string())])
 
 
 def page_lines(html: str) -> list[tuple[str, bool]]:
@@ -149,17 +154,21 @@ def _longest(a: list[str], b: list[str]) -> list[tuple[int, int]]:
 
 
 class Page:
-    def __init__(self, row: tuple, lines: list[tuple[str, bool, bool]]):
-        self.page_id, self.url, self.host, self.path = row
+    def __init__(self, host: str, lines: list[tuple[str, bool, bool]]):
+        self.host = host
         self.texts, self.main, self.shared = [x[0] for x in lines], [x[1] for x in lines], [x[2] for x in lines]
 
+    def same(self, other: Page) -> bool:
+        return self.host == other.host and self.texts == other.texts and self.main == other.main
+
     def compare(self, other: Page) -> None:
-        """Marks in both pages the lines that they share, unless one is a copy of the other."""
+        """Marks in both pages the lines that they share; those within an article stay unmarked where the pages are nearly equal."""
         if self.host != other.host or not self.texts or not other.texts:
             return
         pairs = common(self.texts, other.texts)
-        if len(pairs) < COPY * min(len(self.texts), len(other.texts)):
-            for i, j in pairs:
+        close = len(pairs) >= COPY * min(len(self.texts), len(other.texts))
+        for i, j in pairs:
+            if not (close and (self.main[i] or other.main[j])):
                 self.shared[i] = other.shared[j] = True
 
     def text(self) -> str:
@@ -168,57 +177,66 @@ class Page:
         return " ".join(t for t, m, s in zip(self.texts, self.main, self.shared, strict=True) if (m if article else not s))
 
     def row(self, part: int, edge: int) -> dict:
-        lines = [{"text": t, "main": m, "shared": s} for t, m, s in zip(self.texts, self.main, self.shared, strict=True)] if edge else None
-        return {"page_id": self.page_id, "url": self.url, "text": self.text(), "part": part, "edge": edge, "host": self.host, "lines": lines, "path": self.path}
-
-
-_TYPES = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("part", pa.int32()), ("edge", pa.int32()), ("host", pa.string()), ("lines", pa.list_(pa.struct([("text", pa.string()), ("main", pa.bool_()), ("shared", pa.bool_())]))), ("path", pa.string())])
-
-
-def _sent(rows: list[dict]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_pylist(rows, _TYPES)
+        lines = [{"text": t, "main": m, "shared": s} for t, m, s in zip(self.texts, self.main, self.shared, strict=True)]
+        return {"part": part, "edge": edge, "host": self.host, "lines": lines}
 
 
-def _differenced(batches: Iterator[pa.RecordBatch], borders: bool) -> Iterator[pa.RecordBatch]:
-    """Pages (page_id, url, host, path, html) of a sorted partition, each compared with the next: those at its borders, or all others.
-
-    Edge is 1 for the first, 2 for the last and 3 for an only one.
-    """
-    part, last, first, rows = TaskContext.get().partitionId(), None, True, []
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Page, list[tuple], bool, bool]]:
+    """Runs of equal pages of a sorted partition, each compared with the next: one page, ids and URLs of all, whether it is first, and last."""
+    page, members, first = None, [], True
     for batch in batches:
         for *row, html in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            page = Page(tuple(row), [(t, m, False) for t, m in page_lines(html)])
-            if last:
-                last.compare(page)
-                if first == borders:
-                    rows.append(last.row(part, 1 if first else 0))
-                first = False
-            last = page
-            if len(rows) >= 256:
-                yield _sent(rows)
-                rows = []
-    if last and borders:
-        rows.append(last.row(part, 3 if first else 2))
-    if rows:
-        yield _sent(rows)
+            new = Page(row[2], [(t, m, False) for t, m in page_lines(html)])
+            if page and not page.same(new):
+                page.compare(new)
+                yield page, members, first, False
+                page, members, first = None, [], False
+            page = page or new
+            members.append((row[0], row[1]))
+    if page:
+        yield page, members, first, True
+
+
+def _inner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All pages, with the text of those that aren't in the partition's first or last run. Edge is 1 for the first run, 2 for the last, 3 for an only one."""
+    part = TaskContext.get().partitionId()
+    for page, members, first, last in _runs(batches):
+        edge = first + 2 * last
+        text = None if edge else page.text()
+        for i in range(0, len(members), 256):
+            yield pa.RecordBatch.from_pylist([{"page_id": k, "url": u, "text": text, "part": part, "edge": edge} for k, u in members[i : i + 256]], _PAGE_TYPES)
+
+
+def _borders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One page of a partition's first run and one of its last."""
+    part = TaskContext.get().partitionId()
+    for page, _, first, last in _runs(batches):
+        if first or last:
+            yield pa.RecordBatch.from_pylist([page.row(part, first + 2 * last)], _BORDER_TYPES)
 
 
 def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Border pages in order; a page that ends a partition is compared with the one that begins the next."""
-    last = None
+    """The texts of border runs, given in order: a run that ends a partition goes on in the next or is compared with the one that begins it."""
+    page, members = None, []
+
+    def rows() -> pa.RecordBatch:
+        return pa.RecordBatch.from_pylist([{"part": p, "edge": e, "text": page.text()} for p, e in members], _TEXT_TYPES)
+
     for batch in batches:
-        rows = []
         for r in batch.to_pylist():
-            page = Page((r["page_id"], r["url"], r["host"], r["path"]), [(x["text"], x["main"], x["shared"]) for x in r["lines"]])
-            if last:
-                if last[1] != r["part"]:
-                    last[0].compare(page)
-                rows.append(last[0].row(last[1], last[2]))
-            last = (page, r["part"], r["edge"])
-        if rows:
-            yield _sent(rows)
-    if last:
-        yield _sent([last[0].row(last[1], last[2])])
+            new = Page(r["host"], [(x["text"], x["main"], x["shared"]) for x in r["lines"]])
+            if page:
+                beyond = members[-1][0] != r["part"]
+                if beyond and page.same(new):
+                    page.shared = [s or t for s, t in zip(page.shared, new.shared, strict=True)]
+                    members.append((r["part"], r["edge"]))
+                    continue
+                if beyond:
+                    page.compare(new)
+                yield rows()
+            page, members = new, [(r["part"], r["edge"])]
+    if page:
+        yield rows()
 
 
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -242,7 +260,8 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     key = ["host", "path", F.col("page_id").asc_nulls_last(), "url"]
     # A fixed number of partitions, so that both passes over the one exchange have the same borders.
     ranged = rows.repartitionByRange(shuffle_partitions(pages.sparkSession), *key).sortWithinPartitions(*key)
-    inner = ranged.mapInArrow(partial(_differenced, borders=False), _OUT)
+    inner = ranged.mapInArrow(_inner, _PAGE)
     # Two rows at most for each partition, in one task: it holds one page at a time.
-    edges = ranged.mapInArrow(partial(_differenced, borders=True), _OUT).repartition(1).sortWithinPartitions("part", "edge").mapInArrow(_joined, _OUT)
-    return inner.unionByName(edges).select("page_id", "url", "text")
+    edges = ranged.mapInArrow(_borders, _BORDER).repartition(1).sortWithinPartitions("part", "edge").mapInArrow(_joined, _TEXT)
+    texts = F.broadcast(edges.withColumnRenamed("text", "border_text"))
+    return inner.join(texts, ["part", "edge"], "left").select("page_id", "url", F.coalesce("text", "border_text").alias("text"))

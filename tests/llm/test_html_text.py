@@ -73,6 +73,24 @@ def test_differencing_removes_shared_lines(spark, partitions):
         spark.conf.set("spark.sql.shuffle.partitions", "4")
 
 
+@pytest.mark.parametrize("partitions", ["1", "3", "8"])
+def test_copies_and_pages_of_much_furniture(spark, partitions):
+    menu = [f"Menu {k}" for k in range(20)]
+    page = lambda *own: "".join(f"<div>{x}</div>" for x in [*menu[:10], *own, *menu[10:]])
+    rows = [(k, f"http://two.example/{k}", page(f"Own {k}", f"Story {k}"), "x", 1) for k in range(2)]
+    want = [(k, f"Own {k} Story {k}") for k in range(2)]
+    # Runs of copies of one URL path, with other pages before and after.
+    paths = [(10, "a", "A")] + [(20 + k, "b", "B") for k in range(30)] + [(60, "c", "C"), *((70 + k, "d", "D") for k in range(5))]
+    rows += [(k, f"http://run.example/{path}?v={k}", page(f"Own {own}", f"Story {own}"), "x", 1) for k, path, own in paths]
+    want += [(k, f"Own {own} Story {own}") for k, _, own in paths]
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        got = main_text(spark.createDataFrame(rows, SCHEMA).repartition(4)).collect()
+        assert sorted((r.page_id, r.text) for r in got) == sorted(want)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
 def test_whole_table(spark, sf_dir):
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     got = {r.page_id: r.text for r in main_text(pages).collect()}
