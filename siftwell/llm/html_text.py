@@ -4,8 +4,8 @@ Pages are parsed into lines, one for each block, and each line is marked by
 whether it lies in an article or main element.  Pages are then range-partitioned and sorted
 by host and URL path, so that a page's nearest pages stand beside it; the lines
 of neighbours are aligned by longest common subsequence, and lines that a page
-shares with a neighbour are deleted.  Lines within an article stay: those that
-pages share there are quotations or copies, not furniture.  Pages with
+shares with a neighbour are deleted.  Lines within an article stay: most of
+what pages share there are quotations.  Pages with
 equal lines are copies: a run of them counts as one page, compared with the
 nearest page on either side that is not a copy.
 
@@ -40,7 +40,6 @@ BLOCKS = NESTED | frozenset("p h1 h2 h3 h4 h5 h6 li br hr dt dd pre address capt
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Words in class, id or role that mark furniture.
 FURNITURE = frozenset("ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion sidebar side menu nav navbar navigation breadcrumb breadcrumbs header masthead footer cookie cookies consent notice notices alert popup modal newsletter subscribe subscription share sharing social related recommended comment comments commentlist disqus respond reply replies pagination pager toolbar search login signup complementary contentinfo".split())
-COPY = 0.9  # share of common lines from which two pages are versions of one article
 TABLE = 4_000_000  # cells of a dynamic program that is held whole
 _PAGE = "page_id long, url string, text string, part int, edge int"
 _BORDER = "part int, edge int, host string, lines array<struct<text:string,main:boolean,shared:boolean>>"
@@ -93,7 +92,7 @@ def page_lines(html: str) -> list[tuple[str, bool]]:
             raw = name if not m[3].rstrip().endswith("/") else ""
         elif name in NESTED and not m[3].rstrip().endswith("/"):
             words = {w for x in _MARK.findall(m[3]) for w in re.split(r"[^a-z]+", "".join(x).lower())} if m[3] else set()
-            out = name in OUTSIDE or (name != "body" and name not in MAIN and bool(words & FURNITURE))
+            out = name in OUTSIDE or (name not in ("body", "main") and bool(words & FURNITURE))
             main = name in MAIN
             stack.append((name, out, main))
             hidden, inside = hidden + out, inside + main
@@ -162,19 +161,15 @@ class Page:
         return self.host == other.host and self.texts == other.texts and self.main == other.main
 
     def compare(self, other: Page) -> None:
-        """Marks in both pages the lines that they share; those within an article stay unmarked where the pages are nearly equal."""
+        """Marks in both pages the lines that they share."""
         if self.host != other.host or not self.texts or not other.texts:
             return
-        pairs = common(self.texts, other.texts)
-        close = len(pairs) >= COPY * min(len(self.texts), len(other.texts))
-        for i, j in pairs:
-            if not (close and (self.main[i] or other.main[j])):
-                self.shared[i] = other.shared[j] = True
+        for i, j in common(self.texts, other.texts):
+            self.shared[i] = other.shared[j] = True
 
     def text(self) -> str:
-        """Lines of the article where there is one; else all that no neighbour shares."""
-        article = any(self.main)
-        return " ".join(t for t, m, s in zip(self.texts, self.main, self.shared, strict=True) if (m if article else not s))
+        """Lines within an article, and those outside one that no neighbour shares."""
+        return " ".join(t for t, m, s in zip(self.texts, self.main, self.shared, strict=True) if m or not s)
 
     def row(self, part: int, edge: int) -> dict:
         lines = [{"text": t, "main": m, "shared": s} for t, m, s in zip(self.texts, self.main, self.shared, strict=True)]

@@ -91,6 +91,19 @@ def test_copies_and_pages_of_much_furniture(spark, partitions):
         spark.conf.set("spark.sql.shuffle.partitions", "4")
 
 
+@pytest.mark.parametrize("partitions", ["1", "3", "8"])
+def test_marks_decide_inside_and_outside_an_article(spark, partitions):
+    quote = lambda k: "<p>Quoted</p>" if k in (5, 6, 7) else ""
+    html = lambda k: f"<div>Menu</div><article><h1>T {k}</h1><div class='share'>Share this</div>{quote(k)}<p>A {k}</p></article><div>Body {k}</div><div>Imprint</div><article class='comment'><p>Nice {k}</article>"
+    rows = [(k, f"http://h.example/{k:02d}", html(k), "x", 1) for k in range(12)]
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        got = {r.page_id: r.text for r in main_text(spark.createDataFrame(rows, SCHEMA).repartition(4)).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert got == {k: f"T {k} {'Quoted ' if k in (5, 6, 7) else ''}A {k} Body {k}" for k in range(12)}
+
+
 def test_whole_table(spark, sf_dir):
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     got = {r.page_id: r.text for r in main_text(pages).collect()}
