@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import math
 from collections import defaultdict
-from functools import partial
+from functools import partial, reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -31,7 +31,7 @@ CONTEXT = 40  # characters before a candidate
 SURE = 0.5
 
 _LOCAL = "A-Za-z0-9._%+-"
-#: Base patterns: kind, pattern, and a text without which there is no match.
+#: Patterns: kind, pattern, and texts of which a match has one at least.
 BASE = {
     "email": (rf"(?:\G|(?<![{_LOCAL}]))[{_LOCAL}]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", "@"),
     "ip": (r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", "."),
@@ -39,7 +39,7 @@ BASE = {
     "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", "+"),
 }
 LOOSE = {
-    "email": (rf"(?<![{_LOCAL}])[{_LOCAL}]++\x20?[\[(](?:at|AT)[\])]\x20?[A-Za-z0-9-]++(?:\x20?(?:\.|[\[(](?:dot|DOT)[\])])\x20?[A-Za-z0-9-]++)++", "at"),
+    "email": (rf"(?<![{_LOCAL}])[{_LOCAL}]++\x20?[\[(](?:at|AT)[\])]\x20?[A-Za-z0-9-]++(?:\x20?(?:\.|[\[(](?:dot|DOT)[\])])\x20?[A-Za-z0-9-]++)++", "at AT"),
     "ip": (r"(?<![0-9A-Za-z:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Za-z:])", ":"),
     "phone": (r"(?<![0-9+().-])(?:\([0-9]{3}\)\x20?|[0-9]{3}[.-])[0-9]{3}[.-][0-9]{4}(?![0-9.-])", ""),
 }
@@ -56,7 +56,7 @@ LABELERS = ("format", "gazetteer", "context", "surroundings")
 
 def _matches(text: Column, pattern: str, needs: str) -> tuple[Column, Column]:
     """The matches of a pattern and the texts between them; texts that can't have one are not searched."""
-    can = F.contains(text, F.lit(needs)) if needs else text.rlike("[0-9]")
+    can = reduce(lambda a, b: a | b, (F.contains(text, F.lit(x)) for x in needs.split())) if needs else text.rlike("[0-9]")
     found = F.when(can, F.regexp_extract_all(text, F.lit(pattern), F.lit(0))).otherwise(F.array().cast("array<string>"))
     return found, F.when(can, F.split(text, pattern, -1)).otherwise(F.array().cast("array<string>"))
 

@@ -77,3 +77,13 @@ def test_reliabilities_are_learned_without_labels():
     assert right > 0.9 * 4000
     weights = train([(0, True, v, 1, n) for v, n in counts.items()])
     assert weights["v002"] > weights["v000"]
+
+
+def test_capital_obfuscated_addresses_are_searched(spark):
+    from pyspark.sql import functions as F
+
+    from siftwell.llm.pii import LOOSE, _matches
+
+    df = spark.createDataFrame([("BOB [AT] EXAMPLE [DOT] COM",), ("bob (at) example.com",), ("NONE",)], "text string")
+    found = [r[0] for r in df.select(_matches(F.col("text"), *LOOSE["email"])[0]).collect()]
+    assert found == [["BOB [AT] EXAMPLE [DOT] COM"], ["bob (at) example.com"], []]
