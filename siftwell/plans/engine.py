@@ -45,7 +45,7 @@ def filtered(sections: DataFrame, filters: dict | None, section_tags: DataFrame
         own = section_tags
         if f.get("tag_names"):
             named = tag_table.where(F.col("name").isin(list(f["tag_names"]))).select(F.col("id").alias("__t"))
-            own = own.join(F.broadcast(named.limit(10_000)), F.col("tag_id") == F.col("__t"), "left_semi")
+            own = own.join(named, F.col("tag_id") == F.col("__t"), "left_semi")
         if f.get("tag_ids"):
             own = own.where(F.col("tag_id").isin(list(f["tag_ids"])))
         sections = sections.join(own.select(F.col("section_id").alias("__s")), F.col("section_id") == F.col("__s"), "left_semi")

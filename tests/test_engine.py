@@ -158,3 +158,12 @@ def test_config(tmp_path, monkeypatch):
         load(str(path))
     with pytest.raises(MissingConfigError):
         load(str(tmp_path / "none.json"))
+
+
+def test_tag_names_filter_has_no_limit(spark):
+    from siftwell.plans.engine import filtered
+
+    ids = spark.range(10_050)
+    own = ids.selectExpr("id AS section_id", "id AS tag_id")
+    tag_table = ids.selectExpr("id", "'guide' AS name")
+    assert filtered(ids.selectExpr("id AS section_id"), {"tag_names": ["guide"]}, own, tag_table).count() == 10_050
