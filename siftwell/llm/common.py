@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -20,15 +21,33 @@ def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the cluster's shared checkpoint folder and read it from there.
 
     The rows then survive lost executors and are computed once.  The folder is
-    the session's ``spark.checkpoint.dir``; only where none is set (local
-    tests) a temporary folder is taken.
+    the session's ``spark.checkpoint.dir``; only where none is set and Spark
+    runs in one process (local tests) a temporary folder is taken.
     """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints-"))
     return df.checkpoint(eager=True)
 
 
+def discard(*frames: DataFrame) -> None:
+    """Delete the checkpoints that ``cut`` wrote for ``frames``; nothing may need them any more."""
+    for frame in frames:
+        file = frame._jdf.queryExecution().logical().rdd().getCheckpointFile()
+        if file.isDefined():
+            jvm = frame.sparkSession.sparkContext._jvm
+            path = jvm.org.apache.hadoop.fs.Path(file.get())
+            path.getFileSystem(frame.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def tasks(rows: int, each: int = 50_000, least: int = 8) -> int:
+    """Tasks for lean rows: so many partitions that each holds ``each`` rows, but ``least`` of them."""
+    return max(least, -(-rows // each))
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

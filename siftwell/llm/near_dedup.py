@@ -7,18 +7,22 @@ MinHash.  Bands of five minima or five maxima deal documents into buckets: at
 similarity 0.75 two documents share none of the 40 buckets with probability
 2e-5.
 
-Equal sets are one class.  Within buckets, classes are linked in rounds, each
-confirmed on the full sets and followed by connected components: first every
-class with the smallest of its bucket, for some of the bands; then the same for
-all bands where the two are not yet connected.  In buckets that still hold
-several components, every document is compared with the head of the largest
-one, and shingles that no other document there has are counted. Two documents
-can't share more than both have in common with the head, and beyond that no
-more than either has of shingles that are neither the head's nor its own. That
-bound settles most heavily edited copies without a comparison; the pairs that
-are left are compared. So a bucket of thousands of near copies costs a few
-comparisons for each, no link between components is lost to the choice of
-representatives, and no bucket is capped.
+A node is a set that a task met: equal sets of one task are one node from the
+start, and only nodes go into buckets.  Links are confirmed in three rounds,
+each followed by connected components:
+
+1. A node is compared with one other, the smallest node with which it shares
+   several buckets as their smallest node; most copies are linked here.
+2. In buckets that still hold several components, nodes are compared with the
+   root of the largest one, the bucket's pivot.
+3. What is left is compared in pairs, but for those that can't be similar:
+   shingles that no other open node has are counted, two nodes can't share more
+   than both have in common with the pivot, and beyond that no more than
+   either has of shingles that are neither the pivot's nor its own.
+
+So a bucket of thousands of near copies costs a few comparisons for each, no
+link between components is lost to the choice of representatives, and no
+bucket is capped.  Only texts of nodes that share a bucket are shuffled.
 """
 
 from __future__ import annotations
@@ -28,19 +32,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftwell.llm.common import cut
+from siftwell.llm.common import cut, discard, tasks
 from siftwell.llm.shingles import chunks, mix, shingle_sets, text_bytes
 
 WORDS = 5
 SIMILARITY = 75  # percent
 PERMUTATIONS = 100
 BAND_ROWS = 5
-FIRST_BANDS = 8
-#: Comparisons with one document in one task; a document with more is sent to several tasks.
-FAN_OUT = 128
+FIRST_BANDS = 5  # shared buckets that make a node a likely match
 
 _RANDOM = np.random.default_rng(7)
 _A = _RANDOM.integers(1, 1 << 63, PERMUTATIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -57,91 +60,109 @@ def minmax_bands(sets: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         x += _B[k]
         low[:, k] = np.minimum.reduceat(x, begins)
         high[:, k] = np.maximum.reduceat(x, begins)
-    both = np.concatenate([low, high], axis=1).reshape(len(begins), -1, BAND_ROWS)
+    both = np.concatenate([low, high], axis=1).reshape(len(begins), 2 * PERMUTATIONS // BAND_ROWS, BAND_ROWS)
     bands = (both * _M).sum(axis=2, dtype=np.uint64) + np.arange(both.shape[1], dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     return mix(bands).view(np.int64)
 
 
+def _digest(shingles: np.ndarray) -> bytes:
+    return hashlib.blake2b(shingles, digest_size=16).digest()
+
+
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Node, digest and, for the first row of a node, the bands of each row; rows without an id or a shingle have none of them."""
+    nodes: dict[bytes, int] = {}  # of this task
+    first = TaskContext.get().partitionId() << 36
     for batch in batches:
         data, offsets = text_bytes(batch.column(1))
+        named = batch.column(0).is_valid().to_pylist()
         for i, j in chunks(offsets):
             sets, sizes = shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], WORDS)
-            ends = np.cumsum(sizes)
-            digests = [hashlib.blake2b(sets[e - n : e], digest_size=16).digest() if n else None for e, n in zip(ends.tolist(), sizes.tolist(), strict=True)]
-            bands = minmax_bands(sets, sizes)
-            at = np.concatenate(([0], np.cumsum(np.where(sizes > 0, bands.shape[1], 0)))).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(at), pa.array(bands.reshape(-1)))
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(sizes.astype(np.int64)), pa.array(digests, pa.binary()), lists], names=["doc_id", "n_shingles", "digest", "bands"])
-
-
-def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """What pairs have in common; rows (a, salt, b, text) come sorted, and the row of a itself, with b null, before those it is compared with."""
-    left, left_of = None, None
+            ends = np.cumsum(sizes).tolist()
+            digests = [_digest(sets[e - n : e]) if n and named[i + k] else None for k, (e, n) in enumerate(zip(ends, sizes.tolist(), strict=True))]
+            new = np.array([d is not None and d not in nodes and nodes.setdefault(d, first + len(nodes)) >= 0 for d in digests], bool)
+            kept = np.repeat(new, sizes)
+            bands = minmax_bands(sets[kept], sizes[new])
+            at = np.concatenate(([0], np.cumsum(np.where(new, 2 * PERMUTATIONS // BAND_ROWS, 0)))).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(at), pa.array(bands.reshape(-1)), mask=pa.array(~new))
+            columns = [batch.column(0).slice(i, j - i), pa.array(sizes.astype(np.int64)), pa.array([d and nodes[d] for d in digests], pa.int64()), pa.array(digests, pa.binary()), lists]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "node", "digest", "bands"])
+
+
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The shingles of each node, from rows (node, best, digest, text) of which those of another text are left out."""
+    seen: set[int] = set()
     for batch in batches:
-        a, b = batch.column(0).to_numpy(), batch.column(2).to_pylist()
         data, offsets = text_bytes(batch.column(3))
-        found: list[tuple[int, int, int, bool]] = []
+        nodes, digests = batch.column(0).to_pylist(), batch.column(2).to_pylist()
         for i, j in chunks(offsets):
             sets, sizes = shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], WORDS)
             ends = np.cumsum(sizes).tolist()
+            keep = []
             for k in range(i, j):
-                own = sets[ends[k - i] - int(sizes[k - i]) : ends[k - i]]
-                if b[k] is None:
-                    left, left_of = own.copy(), a[k]
-                elif left_of == a[k] and len(own) and len(left):
-                    common = int((left[np.minimum(np.searchsorted(left, own), len(left) - 1)] == own).sum())
-                    found.append((int(a[k]), b[k], common, 100 * common >= SIMILARITY * (len(own) + len(left) - common)))
-        columns = list(zip(*found, strict=True)) if found else [[]] * 4
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.bool_()), strict=True)], names=["a", "b", "common", "enough"])
+                keep.append(nodes[k] not in seen and _digest(sets[ends[k - i] - int(sizes[k - i]) : ends[k - i]]) == digests[k])
+                if keep[-1]:
+                    seen.add(nodes[k])
+            keep = np.array(keep, bool)
+            at = np.concatenate(([0], np.cumsum(sizes[keep]))).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(at), pa.array(sets[np.repeat(keep, sizes)].view(np.int64)))
+            mask = pa.array(keep)
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i).filter(mask), batch.column(1).slice(i, j - i).filter(mask), lists], names=["node", "best", "shingles"])
+
+
+def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """a, b, common and enough of ``pairs`` (a, b and maybe b's shingles): the size of what two nodes share, and whether they are similar enough."""
+    if "shingles" not in pairs.columns:
+        pairs = pairs.join(sets.select(F.col("node").alias("__b"), "shingles"), F.col("b") == F.col("__b"))
+    both = pairs.join(sets.select(F.col("node").alias("__a"), F.col("shingles").alias("others")), F.col("a") == F.col("__a"))
+    both = both.select("a", "b", F.size(F.array_intersect("shingles", "others")).alias("common"), (F.size("shingles") + F.size("others")).alias("sum"))
+    return both.select("a", "b", "common", (100 * F.col("common") >= SIMILARITY * (F.col("sum") - F.col("common"))).alias("enough"))
+
+
+def own_shingles(sets: DataFrame) -> DataFrame:
+    """node and own, the number of shingles that none of the other ``sets`` (node, shingles) has; nodes without such shingles are left out."""
+    held = sets.select("node", F.explode("shingles").alias("shingle")).groupBy("shingle").agg(F.min("node").alias("node"), F.max("node").alias("last"))
+    return held.where("node = last").groupBy("node").agg(F.count("*").alias("own"))
 
 
-def confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Those of ``pairs`` (a, b) whose shingle sets are similar enough."""
-    return compared(pairs, texts).where("enough").select("a", "b")
+def moved(frame: DataFrame, labels: DataFrame, *columns: str) -> DataFrame:
+    """``frame`` with the nodes in ``columns`` replaced by their roots in ``labels`` (node, root); nodes that aren't there are roots."""
+    for c in columns:
+        frame = frame.join(labels.select(F.col("node").alias("__n"), F.col("root").alias("__r")), F.col(c) == F.col("__n"), "left").withColumn(c, F.coalesce("__r", c)).drop("__n", "__r")
+    return frame
 
 
-def compared(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """a, b, common and enough of ``pairs`` (a, b): the size of what two sets share, and whether they are similar enough. ``texts`` has node and text.
+def followed(labels: DataFrame, up: DataFrame) -> DataFrame:
+    """``labels`` (node, root) after their roots got roots in ``up``, and the rows of ``up``."""
+    return moved(labels, up, "root").unionByName(up)
 
-    Each text is sent once for each document it is compared with; a document
-    that many are compared with is sent to several tasks, by a salt.
-    """
-    fan = pairs.groupBy("a").agg(F.count("*").alias("n"))
-    salted = pairs.join(fan, "a").select("a", F.pmod(F.xxhash64("b"), F.ceil(F.col("n") / FAN_OUT)).cast("long").alias("salt"), "b")
-    left = salted.select("a", "salt").distinct().join(texts, F.col("a") == F.col("node")).select("a", "salt", F.lit(None).cast("long").alias("b"), "text")
-    right = salted.join(texts, F.col("b") == F.col("node")).select("a", "salt", "b", "text")
-    rows = left.unionByName(right).repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
-    return rows.mapInArrow(_compared, "a long, b long, common long, enough boolean")
 
+def components(links: DataFrame) -> DataFrame:
+    """node and root, the smallest node reachable, of the nodes of ``links`` (a, b) that aren't roots themselves.
 
-def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        data, offsets = text_bytes(batch.column(1))
-        for i, j in chunks(offsets):
-            sets, sizes = shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], WORDS)
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy()[i:j], sizes)), pa.array(sets.view(np.int64))], names=["node", "shingle"])
-
-
-def own_shingles(texts: DataFrame) -> DataFrame:
-    """node and own, the number of shingles that none of the other ``texts`` (node, text) has; nodes without such shingles are left out."""
-    held = texts.mapInArrow(_hashes, "node long, shingle long").groupBy("shingle").agg(F.min("node").alias("node"), F.max("node").alias("last"))
-    return held.where("node = last").groupBy("node").agg(F.count("*").alias("own"))
-
-
-def components(edges: DataFrame) -> DataFrame:
-    """node and root, the smallest node reachable, of every node of ``edges`` (a, b); hooks and pointer jumps until nothing changes."""
-    both = cut(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("low")).select("node", F.least("node", "low").alias("root")))
-    while True:
-        near = both.join(labels, F.col("b") == F.col("node")).groupBy("a").agg(F.min("root").alias("near"))
-        hooked = labels.join(near, F.col("node") == F.col("a")).select("node", F.col("root").alias("old"), F.least("root", "near").alias("root"))
-        over = labels.select(F.col("node").alias("up"), F.col("root").alias("up_root"))
-        labels = cut(hooked.join(over, F.col("root") == F.col("up")).select("node", F.least("root", "up_root").alias("root"), "old"))
-        done = labels.where("root <> old").isEmpty()
-        labels = labels.select("node", "root")
-        if done:
-            return labels
+    Each node hooks on its smallest neighbour if that is smaller, and pointers
+    jump until all hooks end in roots; links between different roots are what is left for the
+    next level.  Each level leaves half of a component's roots at most.
+    """
+    links = cut(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct())
+    labels = links.sparkSession.createDataFrame([], "node long, root long")
+    while count := links.count():
+        few = tasks(count)  # small tables needn't be written in many pieces
+        links = links.coalesce(few)
+        hooks = cut(links.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("root")).coalesce(few))
+        tree = hooks.count() == count  # each link is a hook
+        while True:
+            up = hooks.select(F.col("node").alias("up"), F.col("root").alias("up_root"))
+            jumped = cut(hooks.join(up, F.col("root") == F.col("up"), "left").select("node", F.coalesce("up_root", "root").alias("root"), F.col("up").isNotNull().alias("jumped")).coalesce(few))
+            if jumped.where("jumped").isEmpty():
+                break
+            hooks = jumped.select("node", "root")
+        labels = cut(followed(labels, hooks).coalesce(few))
+        if tree:
+            break
+        rest = moved(links, hooks, "a", "b").where("a <> b")
+        links = cut(rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().coalesce(few))
+    return labels
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -155,77 +176,83 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     columns are not read; an empty table gives an empty result.
     """
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    signed = cut(own.mapInArrow(_signatures, "doc_id long, n_shingles long, digest binary, bands array<long>"))
-    full = signed.where("digest is not null and doc_id is not null")
-    classes = full.groupBy("digest").agg(F.min("doc_id").alias("class"))
-    members = cut(full.select("digest", "doc_id").join(classes, "digest").select("doc_id", "class"))
-    heads = members.where("doc_id = class").select("class").distinct()
-    buckets = signed.where("digest is not null").join(heads, F.col("doc_id") == F.col("class"))
-    buckets = buckets.select(F.posexplode("bands").alias("band", "bucket"), F.col("class").alias("node"), F.col("n_shingles").alias("n"))
+    signed = cut(own.mapInArrow(_signatures, "doc_id long, n_shingles long, node long, digest binary, bands array<long>"))
+    used = []  # checkpoints that nothing needs after the last round
+
+    def keep(frame: DataFrame) -> DataFrame:
+        used.append(cut(frame))
+        return used[-1]
+
+    buckets = signed.where("bands is not null").select(F.explode("bands").alias("bucket"), "node", F.col("n_shingles").alias("n"))
     ends = buckets.groupBy("bucket").agg(F.min(F.struct("node", "n")).alias("head"), F.max("node").alias("last")).where("head.node <> last")
-    # Only buckets of several classes matter from here on.
-    shared = cut(buckets.join(ends, "bucket").select("bucket", "band", "node", "n", F.col("head.node").alias("head"), F.col("head.n").alias("head_n")))
-    texts = own.join(shared.select("node").distinct(), F.col("doc_id") == F.col("node"), "left_semi").select(F.col("doc_id").alias("node"), "text")
-    fits = lambda x, y: F.least(x, y) * 100 >= F.greatest(x, y) * SIMILARITY
-
-    # Rows that repeat an id join the classes of all their texts.
-    same = members.groupBy("doc_id").agg(F.min("class").alias("a"), F.max("class").alias("b")).where("a <> b").select("a", "b")
-    stars = shared.where("node <> head").where(fits(F.col("n"), F.col("head_n")))
-    pairs = stars.where(F.col("band") % (2 * PERMUTATIONS // BAND_ROWS // FIRST_BANDS) == 0).select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()
-    roots = components(confirm(cut(pairs), texts).unionByName(same))
-    of = lambda frame, node, name: frame.join(roots.select(F.col("node").alias("__n"), F.col("root").alias("__r")), F.col(node) == F.col("__n"), "left").withColumn(name, F.coalesce("__r", node)).drop("__n", "__r")
-
-    def joined(pairs: DataFrame) -> DataFrame:
-        """The roots after the confirmed pairs; components are contracted to their roots first."""
-        links = of(of(confirm(pairs, texts), "a", "ra"), "b", "rb").select(F.col("ra").alias("a"), F.col("rb").alias("b")).where("a <> b").distinct()
-        links = cut(links)
-        if links.isEmpty():
-            return roots
-        merged = components(links)
-        moved = of(links.select(F.explode(F.array("a", "b")).alias("node")).unionByName(roots.select("node")).distinct(), "node", "old")
-        moved = moved.join(merged.select(F.col("node").alias("m"), F.col("root").alias("new")), F.col("old") == F.col("m"), "left")
-        return cut(moved.select("node", F.coalesce("new", "old").alias("root")))
-
-    crossing = cut(of(of(stars.select(F.col("head").alias("a"), F.col("node").alias("b")).distinct(), "a", "ra"), "b", "rb").where("ra <> rb").select("a", "b"))
-    if not crossing.isEmpty():
-        roots = joined(crossing)
-
-    # Buckets that still hold several components; main is the smallest node of the largest one.
-    placed = of(shared.select("bucket", "node", "n"), "node", "root")
+    # Only buckets of several nodes matter from here on.
+    shared = buckets.join(ends, "bucket").select("bucket", "node", "n", F.col("head.node").alias("head"), F.col("head.n").alias("head_n"))
+    fits = (F.col("node") != F.col("head")) & (F.least("n", "head_n") * 100 >= F.greatest("n", "head_n") * SIMILARITY)
+    # A node has a row for each band at most.
+    by_head = shared.repartition("node").groupBy("node", "head").agg(F.count(F.when(fits, 1)).alias("times"), F.first("n").alias("n"), F.collect_list("bucket").alias("in_buckets"))
+    likely = F.struct(F.least("times", F.lit(FIRST_BANDS)), -F.col("head"))
+    nodes = by_head.groupBy("node").agg(F.first("n").alias("n"), F.max_by(F.when(F.col("times") > 0, F.col("head")), F.when(F.col("times") > 0, likely)).alias("best"), F.flatten(F.collect_list("in_buckets")).alias("in_buckets"))
+    nodes = keep(nodes)
+    asked = signed.where("bands is not null").select("node", F.col("doc_id").alias("of"), "digest").join(nodes.select(F.col("node").alias("__n"), "best"), F.col("node") == F.col("__n"))
+    sets = keep(asked.join(own, F.col("of") == F.col("doc_id")).select("node", "best", "digest", "text").mapInArrow(_sets, "node long, best long, shingles array<long>"))
+
+    known = keep(compared(sets.where("best is not null").select(F.col("best").alias("a"), F.col("node").alias("b"), "shingles"), sets))
+    links = known.where("enough").select("a", "b")
+    # Rows that repeat an id join the nodes of all their texts.
+    several = signed.where("node is not null").groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a <> z")
+    repeated = not several.isEmpty()
+    if repeated:
+        links = links.unionByName(signed.where("node is not null").join(several.select(F.col("doc_id").alias("again"), "a"), F.col("doc_id") == F.col("again")).select("a", F.col("node").alias("b")))
+    labels = components(links)
+
+    # Buckets that still hold several components, each with the root of its largest one.
+    placed = moved(nodes.withColumn("root", F.col("node")), labels, "root").select(F.explode("in_buckets").alias("bucket"), "node", "n", "root")
     sizes = placed.groupBy("bucket", "root").agg(F.count("*").alias("size"))
-    mixed = sizes.groupBy("bucket").agg(F.max_by("root", F.struct("size", "root")).alias("main"), F.count("*").alias("roots"), F.sum("size").alias("all")).where("roots > 1 and all > 2").select("bucket", "main")
-    open_ = cut(placed.join(mixed, "bucket"))
+    mixed = sizes.groupBy("bucket").agg(F.max_by("root", F.struct("size", "root")).alias("pivot"), F.count("*").alias("roots")).where("roots > 1").select("bucket", "pivot")
+    open_ = keep(placed.join(mixed, "bucket"))
+    pairs = open_.where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct().join(known.select("a", "b"), ["a", "b"], "left_anti")
+    with_pivot = keep(compared(keep(pairs), sets))
+    known = known.unionByName(with_pivot)
+    up = components(moved(with_pivot.where("enough").select("a", "b"), labels, "a", "b"))
+    labels = followed(labels, up)
+
+    open_ = moved(open_.withColumn("main", F.col("pivot")), up, "root", "main")
+    still = open_.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("bucket")
+    open_ = keep(open_.join(still, "bucket", "left_semi"))
     if not open_.isEmpty():
-        nodes = cut(open_.select("main", "node").distinct())
-        with_main = nodes.select("node").unionByName(nodes.select(F.col("main").alias("node"))).distinct()
-        rare = own_shingles(texts.join(with_main.withColumnRenamed("node", "t"), F.col("node") == F.col("t"), "left_semi"))
-        same_as = compared(cut(nodes.where("main <> node").select(F.col("main").alias("a"), F.col("node").alias("b"))), texts)
-        known = open_.join(rare.withColumnRenamed("node", "r"), F.col("node") == F.col("r"), "left").join(same_as, (F.col("main") == F.col("a")) & (F.col("node") == F.col("b")), "left")
-        known = known.select("bucket", "node", "n", "root", "main", F.coalesce("own", F.lit(0)).alias("own"), F.when(F.col("main") == F.col("node"), F.col("n")).otherwise(F.coalesce("common", F.lit(0))).alias("with_main"))
-        # Nothing of its own can a document share; what is neither that nor in main, it can share with such shingles of another.
-        known = cut(known.withColumn("else", F.greatest(F.col("n") - F.col("with_main") - F.col("own"), F.lit(0))).where(100 * (F.col("n") - F.col("own")) >= SIMILARITY * F.col("n")))
+        left = open_.select(F.explode(F.array("node", "pivot")).alias("__n")).distinct()
+        rare = own_shingles(sets.join(left, F.col("node") == F.col("__n"), "left_semi"))
+        close = open_.join(rare.withColumnRenamed("node", "__r"), F.col("node") == F.col("__r"), "left").join(known.select("a", "b", "common"), (F.col("pivot") == F.col("a")) & (F.col("node") == F.col("b")), "left")
+        close = close.select("bucket", "node", "n", "root", "main", F.coalesce("own", F.lit(0)).alias("own"), F.when(F.col("pivot") == F.col("node"), F.col("n")).otherwise(F.coalesce("common", F.lit(0))).alias("with_pivot"))
+        # Nothing of its own can a node share; what is neither that nor the pivot's, it can share with such shingles of another.
+        close = keep(close.withColumn("else", F.greatest(F.col("n") - F.col("with_pivot") - F.col("own"), F.lit(0))).where(100 * (F.col("n") - F.col("own")) >= SIMILARITY * F.col("n")))
         # A pair is taken in the smallest of its buckets only; a node has one bucket for each band at most.
-        buckets_of = known.groupBy("node").agg(F.collect_list("bucket").alias("buckets")).withColumnRenamed("node", "of")
-        known = cut(known.join(buckets_of, F.col("node") == F.col("of")).drop("of"))
-        names = ("node", "n", "root", "own", "with_main", "else", "buckets")
+        buckets_of = close.groupBy("node").agg(F.collect_list("bucket").alias("buckets")).withColumnRenamed("node", "of")
+        close = keep(close.join(buckets_of, F.col("node") == F.col("of")).drop("of"))
+        names = ("node", "n", "root", "own", "with_pivot", "else", "buckets")
         # What lies outside a bucket's largest component against all that is in another component.
-        one = known.where("root <> main").select("bucket", *(F.col(c).alias(c + "1") for c in names))
-        two = known.select("bucket", "main", *(F.col(c).alias(c + "2") for c in names))
+        one = close.where("root <> main").select("bucket", *(F.col(c).alias(c + "1") for c in names))
+        two = close.select("bucket", "main", *(F.col(c).alias(c + "2") for c in names))
         once = (F.col("root2") == F.col("main")) | (F.col("node1") < F.col("node2"))
         low = lambda c: F.least(F.col(c + "1"), F.col(c + "2"))
-        common = F.least(low("with_main") + low("else"), F.col("n1") - F.col("own1"), F.col("n2") - F.col("own2"))
-        can = 100 * common >= SIMILARITY * (F.col("n1") + F.col("n2") - common)
+        most = F.least(low("with_pivot") + low("else"), F.col("n1") - F.col("own1"), F.col("n2") - F.col("own2"))
+        can = 100 * most >= SIMILARITY * (F.col("n1") + F.col("n2") - most)
         here = F.col("bucket") == F.array_min(F.array_intersect("buckets1", "buckets2"))
         rest = one.join(two, "bucket").where((F.col("root1") != F.col("root2")) & once & can & here)
         rest = rest.select(F.least("node1", "node2").alias("a"), F.greatest("node1", "node2").alias("b")).distinct()
-        rest = cut(rest.join(crossing, ["a", "b"], "left_anti"))
-        if not rest.isEmpty():
-            roots = joined(rest)
-
-    found = of(members, "class", "component_id").groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
-    out = signed.select("doc_id", "n_shingles").join(found.withColumnRenamed("doc_id", "__doc"), F.col("doc_id") == F.col("__doc"), "left")
-    component = F.coalesce("component_id", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+        either = known.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        last = keep(compared(keep(rest.join(either, ["a", "b"], "left_anti")), sets))
+        labels = followed(labels, components(moved(last.where("enough").select("a", "b"), labels, "a", "b")))
+    labels = cut(labels)
+    discard(*used)
+
+    rows = moved(signed.select("doc_id", "n_shingles", F.col("node").alias("root")), labels, "root")
+    lowest = rows.where("root is not null").groupBy(F.col("root").alias("__root")).agg(F.min("doc_id").alias("lowest"))
+    out = rows.join(lowest, F.col("root") == F.col("__root"), "left").select("doc_id", "n_shingles", F.coalesce("lowest", "doc_id").alias("component_id"))
+    if repeated:  # also by their rows without a shingle
+        whole = out.groupBy(F.col("doc_id").alias("__doc")).agg(F.min("component_id").alias("__low"))
+        out = out.join(whole, F.col("doc_id") == F.col("__doc"), "left").select("doc_id", "n_shingles", F.col("__low").alias("component_id"))
+    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

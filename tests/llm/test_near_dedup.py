@@ -1,3 +1,4 @@
+import itertools
 import random
 import re
 
@@ -75,6 +76,14 @@ def test_odd_rows(spark):
     assert near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_repeated_ids_link_by_every_text(spark):
+    one, two = [f"p{k}" for k in range(100)], [f"q{k}" for k in range(100)]
+    rows = [(5, one), (5, two), (7, [*one[:99], "x"]), (8, [*two[:99], "y"])]
+    for order in list(itertools.permutations(rows))[::5]:
+        df = spark.createDataFrame([(d, " ".join(w), None, None) for d, w in order], SCHEMA)
+        assert {r.component_id for r in near_duplicates(df).collect()} == {5}
+
+
 def test_whole_table(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     rows = [(r.doc_id, r.text) for r in docs.collect()]
