@@ -1,7 +1,7 @@
 import zlib
 from collections import Counter
 
-from siftwell.llm.sharding import place, ring, shard_documents
+from siftwell.llm.sharding import place, ring, shard_documents, whole_groups
 
 SCHEMA = "doc_id long, text string, shard string, cell int"
 
@@ -57,3 +57,21 @@ def test_odd_rows(spark):
         slots = sorted(r.slot for r in got if r.shard == s)
         assert slots == list(range(len(slots)))
     assert shard_documents(spark.createDataFrame([], SCHEMA), 8).count() == 0
+
+
+def test_equal_texts_stay_together_unless_no_shard_has_room(spark):
+    rows = [(k, f"text {k % 40} " * (k % 7 + 1), None, None) for k in range(400)] + [(1000 + k, "hot " * 9, "z", 3) for k in range(500)]
+    got = shard_documents(spark.createDataFrame(rows, SCHEMA), 8).collect()
+    shards, load = {}, Counter()
+    texts = {r[0]: r[1] for r in rows}
+    for r in got:
+        shards.setdefault(texts[r.doc_id], set()).add(r.shard)
+        load[r.shard] += r.size
+    assert len(shards.pop("hot " * 9)) > 1
+    assert sum(len(s) > 1 for s in shards.values()) == 0
+    assert max(load.values()) <= sum(load.values()) / 8 * 1.002 + 300
+
+
+def test_whole_groups_take_the_next_shard_with_room():
+    owner, room = [0, 1, 2, 3], [10, 10, 3, 10]
+    assert whole_groups([(2, 8), (2, 9), (0, 4), (1, 50)], owner, room) == [0, 3, 1, None] and room == [2, 6, 3, 1]
