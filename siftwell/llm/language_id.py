@@ -24,10 +24,9 @@ from pyspark.sql import functions as F
 from siftwell.llm.shingles import mix
 
 ORDER = 4
-#: Bounds of the training sample: documents of a language, characters of a document, languages (by frequency).
-SAMPLE_DOCS, SAMPLE_CHARS, MAX_LANGUAGES = 600, 20_000, 200
-CHARSET = 4096  # characters known to the models, the most frequent ones; 12 bits of a packed n-gram
-CHUNK = 1 << 18
+SAMPLE_DOCS = 600  # the bound of the training sample: documents of a language, each with its whole text
+BITS = 16  # of a character in a packed n-gram: all of the basic plane
+CHUNK, BATCH_CHARS = 1 << 18, 1 << 20
 UNDETERMINED = "und"
 LEAST_SPREAD = 0.15  # nats; a text that mixes languages lies within the limit, one of random letters beyond it
 
@@ -102,7 +101,7 @@ def _packed(ids: np.ndarray, n: int) -> np.ndarray:
     """The n characters that end at each place as one number; before the start stand zeros."""
     out = ids.astype(np.uint64)
     for k in range(1, n):
-        out[k:] |= ids[:-k].astype(np.uint64) << np.uint64(12 * k)
+        out[k:] |= ids[:-k].astype(np.uint64) << np.uint64(BITS * k)
     return out
 
 
@@ -124,14 +123,14 @@ class Model:
         packed = np.zeros(len(at), np.uint64)
         for k in range(order):
             before = at - k
-            packed |= np.where(before >= 0, ids[np.maximum(before, 0)], 0).astype(np.uint64) << np.uint64(12 * k)
+            packed |= np.where(before >= 0, ids[np.maximum(before, 0)], 0).astype(np.uint64) << np.uint64(BITS * k)
         table, weight = self.tables[order - 2], self.weights[order - 2]
         place = table.find(mix(packed + np.uint64(1)))
         out = table.values[place]
         missed = np.flatnonzero(place < 0)
         if len(missed):
             lower = self.log_probabilities(ids, at[missed], order - 1)
-            context = weight.find(mix((packed[missed] >> np.uint64(12)) + np.uint64(1)))
+            context = weight.find(mix((packed[missed] >> np.uint64(BITS)) + np.uint64(1)))
             out[missed] = lower + np.where((context >= 0)[:, None], weight.values[context], 0)
         return out
 
@@ -171,7 +170,7 @@ def _kneser_ney(ids: np.ndarray, chars: int) -> tuple[np.ndarray, list[tuple[np.
         if n == ORDER - 1:
             counts.append(raw)
         else:  # the number of different characters before it
-            longer = grams[n + 1][0] & np.uint64((1 << (12 * (n + 1))) - 1)
+            longer = grams[n + 1][0] & np.uint64((1 << (BITS * (n + 1))) - 1)
             seen, kinds = np.unique(longer, return_counts=True)
             at = np.minimum(np.searchsorted(seen, keys), len(seen) - 1)
             counts.append(np.where(seen[at] == keys, kinds[at], 1))
@@ -182,7 +181,7 @@ def _kneser_ney(ids: np.ndarray, chars: int) -> tuple[np.ndarray, list[tuple[np.
         keys, c = grams[n][0], counts[n].astype(np.float64)
         ones, twos = (c == 1).sum(), (c == 2).sum()
         discount = ones / (ones + 2 * twos) if ones else 0.5
-        context, start = np.unique(keys >> np.uint64(12), return_inverse=True)
+        context, start = np.unique(keys >> np.uint64(BITS), return_inverse=True)
         total = np.bincount(start, c)
         weight = np.bincount(start, np.minimum(c, discount)) / total
         orders.append((keys, np.maximum(c - discount, 0) / total[start], context, weight))
@@ -190,16 +189,60 @@ def _kneser_ney(ids: np.ndarray, chars: int) -> tuple[np.ndarray, list[tuple[np.
 
 
 def fit(samples: dict[str, list[str]]) -> Model:
-    """A model from texts by language; every fourth text is held back for calibration."""
+    """A model from texts by language; every fourth text is held back for calibration.
+
+    Texts that are far from their language by a model of the other half of the
+    sample are wrongly labelled or junk, and nothing is learned from them.
+    """
     languages = sorted(samples)
     if not languages:
         return Model([], np.zeros(0x10000, np.uint16), np.zeros((1, 0), np.float32), [], [], np.zeros((0, 3)), np.inf)
+    if min(map(len, samples.values())) >= 8:
+        halves = [{k: v[i::2] for k, v in samples.items()} for i in (0, 1)]
+        models = [_fitted(languages, half) for half in halves]
+        near = [{k: _near(models[1 - i], j, half[k]) for j, k in enumerate(languages)} for i, half in enumerate(halves)]
+        samples = {k: near[0][k] + near[1][k] or samples[k] for k in languages}
     fitted = {k: [t for i, t in enumerate(v) if i % 4 != 3 or len(v) < 8] for k, v in samples.items()}
     held = {k: [t for i, t in enumerate(v) if i % 4 == 3 or len(v) < 8] for k, v in samples.items()}
+    model = _fitted(languages, fitted)
+    far = [6.0]
+    for j, k in enumerate(languages):
+        own, size, _ = _own(model, j, held[k])
+        if not len(own):
+            own, size = np.array([np.log(model.unigrams.shape[0])]), np.array([1])
+        mean, spread, near = _spread(own)
+        model.usual[j] = mean, spread, 2.0
+        far.append(1.25 * float(((own[near] - mean) / np.sqrt(spread**2 + 4.0 / size[near])).max()))
+    model.limit = max(far)
+    return model
+
+
+def _own(model: Model, language: int, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Cross-entropies of texts in their language, characters scored, and which texts they are: those with letters."""
+    entropy, size, has = model.cross_entropies(texts)
+    return entropy[has, language], size[has], np.flatnonzero(has)
+
+
+def _spread(own: np.ndarray) -> tuple[float, float, np.ndarray]:
+    """Mean and spread of the values near the median, and which those are."""
+    middle = np.median(own)
+    near = np.abs(own - middle) <= 6 * max(np.median(np.abs(own - middle)) * 1.5, 0.02)
+    return float(own[near].mean()), max(float(own[near].std()), LEAST_SPREAD), near
+
+
+def _near(model: Model, language: int, texts: list[str]) -> list[str]:
+    """The texts that are as a language's texts usually are."""
+    own, size, at = _own(model, language, texts)
+    if not len(own):
+        return []
+    mean, spread, _ = _spread(own)
+    return [texts[i] for i in at[(own - mean) / np.sqrt(spread**2 + 4.0 / size) <= 6].tolist()]
+
+
+def _fitted(languages: list[str], fitted: dict[str, list[str]]) -> Model:
     coded = {k: letters(fitted[k]) for k in languages}
     seen = np.bincount(np.concatenate([c for c, *_ in coded.values()]), minlength=0x10000)
-    known = np.argsort(-seen, kind="stable")[: CHARSET - 2]
-    known = np.sort(known[seen[known] > 0])
+    known = np.flatnonzero(seen)
     charset = np.zeros(0x10000, np.uint16)
     charset[known] = np.arange(1, len(known) + 1)
     chars = len(known) + 1
@@ -212,31 +255,18 @@ def fit(samples: dict[str, list[str]]) -> Model:
     for n in range(2, ORDER + 1):
         keys = np.unique(np.concatenate([parts[k][1][n - 2][0] for k in languages]))
         contexts = np.unique(np.concatenate([parts[k][1][n - 2][2] for k in languages]))
-        mask = np.uint64((1 << (12 * (n - 1))) - 1)
+        mask = np.uint64((1 << (BITS * (n - 1))) - 1)
         shorter = lower[np.searchsorted(lower_keys, keys & mask)]
         share, lam = np.zeros((len(keys), len(languages))), np.ones((len(contexts), len(languages)))
         for j, k in enumerate(languages):
             own, p, ctx, w = parts[k][1][n - 2]
             share[np.searchsorted(keys, own), j] = p
             lam[np.searchsorted(contexts, ctx), j] = w
-        values = share + lam[np.searchsorted(contexts, keys >> np.uint64(12))] * shorter
+        values = share + lam[np.searchsorted(contexts, keys >> np.uint64(BITS))] * shorter
         lower, lower_keys = values, keys
         tables.append(_table(keys, np.log(values)))
         weights.append(_table(contexts, np.log(lam)))
-    model = Model(languages, charset, unigrams, tables, weights, np.zeros((len(languages), 3)), np.inf)
-    far = [6.0]
-    for j, k in enumerate(languages):
-        texts = [t for t in held[k] if t]
-        entropy, size, has = model.cross_entropies(texts)
-        own, size = entropy[has, j], size[has]
-        own, size = (own, size) if len(own) else (np.array([np.log(chars)]), np.array([1]))
-        middle = np.median(own)
-        near = np.abs(own - middle) <= 6 * max(np.median(np.abs(own - middle)) * 1.5, 0.02)
-        spread = max(own[near].std(), LEAST_SPREAD)
-        model.usual[j] = own[near].mean(), spread, 2.0
-        far.append(1.25 * float(((own[near] - own[near].mean()) / np.sqrt(spread**2 + 4.0 / size[near])).max()))
-    model.limit = max(far)
-    return model
+    return Model(languages, charset, unigrams, tables, weights, np.zeros((len(languages), 3)), np.inf)
 
 
 def _table(keys: np.ndarray, values: np.ndarray) -> Table:
@@ -251,20 +281,39 @@ def held_out(id_col: str = "doc_id") -> Column:
 
 
 def fit_on(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_docs: int = SAMPLE_DOCS) -> Model:
-    """A model from a sample of the labelled documents that aren't held out, chosen by a hash of their ids."""
+    """A model from a sample of the labelled documents that aren't held out, chosen by a hash of their ids.
+
+    Rows without an id, a text or a language are not learned from; of rows that
+    repeat an id and a language one text is taken.
+    """
     own = docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).where(F.col("id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out("id"))
-    rank = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
-    chosen = own.select("id", "lang").withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= sample_docs)
-    common = [r[0] for r in own.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()]
-    chosen = chosen.where(F.col("lang").isin(common) if common else F.lit(False)).select("id", F.col("lang").alias("as")).distinct()
-    # At most sample_docs rows for each of at most MAX_LANGUAGES languages are broadcast and come to the driver.
-    rows = own.join(F.broadcast(chosen), "id").where("lang = as").select("lang", "id", F.substring("text", 1, SAMPLE_CHARS).alias("text")).collect()
+    # A share of each language by hash that holds the sample, so that no task ranks a whole language.
+    own = own.withColumn("place", F.pmod(F.xxhash64("id"), F.lit(1 << 40)))
+    counts = own.groupBy("lang").agg(F.count("*").alias("rows"))  # a row for each language of the model
+    near = own.join(F.broadcast(counts), "lang").where(F.col("place") * F.col("rows") < F.lit(2.0 * sample_docs * (1 << 40)))
+    near = near.groupBy("lang", "id", "place").agg(F.min("text").alias("text"))
+    rank = Window.partitionBy("lang").orderBy("place", "id")
+    rows = near.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= sample_docs).collect()
     samples: dict[str, list[str]] = {}
-    for r in sorted(rows, key=lambda r: (r.lang, hash(r.id), r.text)):
+    for r in sorted(rows, key=lambda r: (r.lang, r.rank)):
         samples.setdefault(r.lang, []).append(r.text)
     return fit(samples)
 
 
+def _parts(texts: pa.Array) -> Iterator[tuple[int, list[str]]]:
+    """Begins and texts (null: empty) of parts of at most 256 texts and BATCH_CHARS characters, one text at least."""
+    part, chars, first = [], 0, 0
+    for k, t in enumerate(texts.to_pylist()):
+        t = t or ""
+        if part and (len(part) == 256 or chars + len(t) > BATCH_CHARS):
+            yield first, part
+            part, chars, first = [], 0, k
+        part.append(t)
+        chars += len(t)
+    if part:
+        yield first, part
+
+
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` row by row: doc_id, lang_pred, score, rejected.
 
@@ -277,14 +326,12 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(0, batch.num_rows, 256):
-                part = batch.slice(i, 256)
-                texts = [t or "" for t in part.column(1).to_pylist()]
+            for i, texts in _parts(batch.column(1)):
                 if model.languages:
                     names, score, rejected = model.predict(texts)
                 else:
                     names, score, rejected = [UNDETERMINED] * len(texts), np.zeros(len(texts)), np.ones(len(texts), bool)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(names, pa.string()), pa.array(score), pa.array(rejected)], names=["doc_id", "lang_pred", "score", "rejected"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, len(texts)), pa.array(names, pa.string()), pa.array(score), pa.array(rejected)], names=["doc_id", "lang_pred", "score", "rejected"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(judge, "doc_id long, lang_pred string, score double, rejected boolean")
 
@@ -296,16 +343,19 @@ def languages_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def drop_rejected(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The rows of ``docs`` whose language is recognised, with all their columns; rows are judged where they lie, without a join."""
+    """The rows of ``docs`` whose language is recognised, with all their columns; rows are judged where they lie, without a join.
+
+    Null texts and those without a letter go; a null id is judged by its text.
+    Where no labelled row is there to learn from, nothing can be recognised, and all rows stay.
+    """
     model = fit_on(docs, id_col, text_col, lang_col)
     place = docs.columns.index(text_col)
+    if not model.languages:
+        return docs
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(0, batch.num_rows, 256):
-                part = batch.slice(i, 256)
-                texts = [t or "" for t in part.column(place).to_pylist()]
-                keep = ~model.predict(texts)[2] if model.languages else np.zeros(len(texts), bool)
-                yield part.filter(pa.array(keep))
+            for i, texts in _parts(batch.column(place)):
+                yield batch.slice(i, len(texts)).filter(pa.array(~model.predict(texts)[2]))
 
     return docs.mapInArrow(judge, docs.schema)
