@@ -1,7 +1,7 @@
 r"""Personal data by weak supervision, with DataFrame expressions only.
 
 Candidates are the matches of the base patterns and those of looser ones
-(obfuscated addresses, national phone numbers, IPv6).  Four labelers vote on
+(obfuscated addresses, national phone numbers, IPv6, keys and tokens).  Four labelers vote on
 each candidate, for (2), against (0) or abstaining (1): its format, a gazetteer, the words
 before it and its surroundings.  Counts of the vote patterns, of which there
 are a fixed number, come to the driver; expectation-maximisation estimates
@@ -27,7 +27,8 @@ from pyspark.sql import functions as F
 from siftwell.llm.common import cut, text_of
 
 KINDS = ("email", "ip", "card", "phone")
-CONTEXT = 40  # characters before a candidate
+ALL_KINDS = (*KINDS, "secret")  # the last one has added spans only
+CONTEXT = 40  # characters before a candidate that its context labeler reads: room for the few words that introduce such data
 SURE = 0.5
 
 _LOCAL = "A-Za-z0-9._%+-"
@@ -42,7 +43,9 @@ LOOSE = {
     "email": (rf"(?<![{_LOCAL}])[{_LOCAL}]++\x20?[\[(](?:at|AT)[\])]\x20?[A-Za-z0-9-]++(?:\x20?(?:\.|[\[(](?:dot|DOT)[\])])\x20?[A-Za-z0-9-]++)++", "at AT"),
     "ip": (r"(?<![0-9A-Za-z:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Za-z:])", ":"),
     "phone": (r"(?<![0-9+().-])(?:\([0-9]{3}\)\x20?|[0-9]{3}[.-])[0-9]{3}[.-][0-9]{4}(?![0-9.-])", ""),
+    "secret": (r"(?:(?i:token|secret|password|passwd|credential|api_?-?key|access_?-?key|private_?-?key)[\"']?\x20?[:=]\x20?[\"']?|(?<![A-Za-z0-9])(?=AKIA|gh[ops]_|sk-|xox[bp]-))[A-Za-z0-9+/_-]{16,}+", "oken OKEN ecret ECRET assw ASSW redential REDENTIAL key Key KEY AKIA gh sk- xox"),
 }
+SECRET_VALUE = "[A-Za-z0-9+/_-]++$"  # the end of a match that is the secret itself
 #: Gazetteers: top-level domains, first digits of card numbers, calling codes.
 DOMAINS = "com|org|net|edu|gov|io|info|biz|de|fr|es|it|nl|uk|eu|ch|at|be|pl|pt|se|us|ca|mx|br|ar|au|jp|cn|in"
 WORDS = {
@@ -50,6 +53,7 @@ WORDS = {
     "ip": (r"(?i)\bip\b|address|server|host|client|adresse", r"(?i)version|release|section|chapter|build"),
     "card": (r"(?i)card|visa|master|karte|carte|tarjeta|payment|credit", r"(?i)isbn|order|serial|tracking|invoice"),
     "phone": (r"(?i)phone|tel|call|mobile|cell|fax|telefon|tel[ée]fono", r"(?i)isbn|part|model|order"),
+    "secret": (r"(?i)auth|bearer|secret|login|api|clave|schl[üu]ssel|\bcl[ée]\b", r"(?i)example|sample|placeholder|checksum|commit"),
 }
 LABELERS = ("format", "gazetteer", "context", "surroundings")
 
@@ -106,6 +110,8 @@ def _known(kind: str, match: Column) -> Column:
         yes = ~match.rlike(r"^(?:0|127|255|22[4-9]|23[0-9]|24[0-9]|25[0-5])\.")
     elif kind == "card":
         yes = match.rlike("^[2-6]")
+    elif kind == "secret":  # issuers' prefixes, digests in hex, and long strings of mixed signs
+        yes = match.rlike(r"(?:AKIA|gh[ops]_|sk-|xox[bp]-)|(?:^|[^0-9A-Za-z])[0-9a-f]{32,}$") | (match.rlike(r"[0-9][^0-9]*[0-9]") & match.rlike("[A-Z]") & match.rlike("[a-z][^\"':=]*$"))
     else:
         yes = match.rlike(r"^\+?\(?(?:1|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|7|8[1246]|9[0-58])") & ~match.rlike(r"^\+?([0-9])(?:[^0-9]*\1)+$")
     return F.when(yes, 2).otherwise(0)
@@ -115,7 +121,8 @@ def _votes(kind: str, base: bool, c: Column) -> Column:
     yes, no = WORDS[kind]
     context = F.when(c["before"].rlike(no), 0).when(c["before"].rlike(yes), 2).otherwise(1)
     beside = c["before"].rlike(r"[A-Za-z0-9]$") | c["after"].rlike(r"^[A-Za-z0-9]")
-    return F.array(F.lit(2 if base else 1), _known(kind, c["match"]), context, F.when(beside, 0).otherwise(2))
+    form = F.when(c["match"].rlike(r"[0-9][A-Za-z0-9+/_-]*$"), 2).otherwise(0) if kind == "secret" else F.lit(2 if base else 1)
+    return F.array(form, _known(kind, c["match"]), context, F.when(beside, 0).otherwise(2))
 
 
 def _valid_match(kind: str, c: Column) -> Column:
@@ -124,15 +131,16 @@ def _valid_match(kind: str, c: Column) -> Column:
 
 def _span(kind: str, base: bool, c: Column) -> Column:
     size = F.char_length(c["match"])
+    held = F.char_length(F.regexp_extract(c["match"], SECRET_VALUE, 0)) if kind == "secret" else size
     shape = F.when(size < 12, 0).when(size < 16, 1).when(size < 24, 2).otherwise(3)
-    return F.struct(F.lit(KINDS.index(kind)).alias("kind"), c["start"].alias("start"), (c["start"] + size).alias("end"), F.lit(base).alias("base"), _votes(kind, base, c).alias("votes"), shape.alias("shape"))
+    return F.struct(F.lit(ALL_KINDS.index(kind)).alias("kind"), (c["start"] + size - held).alias("start"), (c["start"] + size).alias("end"), F.lit(base).alias("base"), _votes(kind, base, c).alias("votes"), shape.alias("shape"))
 
 
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and spans, array<struct<kind, start, end, base, votes, shape>>: kind counts from 0, shape is 0 to 3 by length."""
     text = F.col("text")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
-    sets = [(k, True, *BASE[k]) for k in KINDS] + [(k, False, *LOOSE[k]) for k in KINDS if k in LOOSE]
+    sets = [(k, True, *BASE[k]) for k in KINDS] + [(k, False, *LOOSE[k]) for k in ALL_KINDS if k in LOOSE]
     found = []
     for n, (_, _, pattern, needs) in enumerate(sets):
         a, b = _matches(text, pattern, needs)
@@ -205,7 +213,7 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     found = cut(candidates(docs, id_col, text_col))
     s = F.col("s")
     patterns = found.select(F.explode("spans").alias("s")).groupBy(s["kind"].alias("kind"), s["base"].alias("base"), s["votes"].alias("votes"), s["shape"].alias("shape")).count()
-    counted = [(r[0], r[1], tuple(r[2]), r[3], r[4]) for r in patterns.collect()]  # at most 4 * 2 * 3 ** 4 * 4 rows
+    counted = [(r[0], r[1], tuple(r[2]), r[3], r[4]) for r in patterns.collect()]  # at most 5 * 2 * 3 ** 4 * 4 rows
     weights = train(counted)
     table = F.create_map(*(F.lit(x) for pair in weights.items() for x in pair)) if weights else F.lit(None).cast("map<string,double>")
 
@@ -218,7 +226,7 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     others = F.filter("spans", lambda x: ~x["base"])
     others = F.filter(others, lambda x: ~F.exists(bases, lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])) & (score(x) >= sure))
     whole = F.array_sort(F.concat(bases, others))
-    named = F.transform(whole, lambda x: F.struct(F.get(F.array(*map(F.lit, KINDS)), x["kind"]).alias("kind"), x["start"].alias("start"), x["end"].alias("end"), x["base"].alias("base"), score(x).alias("score")))
+    named = F.transform(whole, lambda x: F.struct(F.get(F.array(*map(F.lit, ALL_KINDS)), x["kind"]).alias("kind"), x["start"].alias("start"), x["end"].alias("end"), x["base"].alias("base"), score(x).alias("score")))
     return found.select("doc_id", named.alias("spans"))
 
 
@@ -234,4 +242,5 @@ def _base_of(kind: str, x: Column) -> Column:
 def digests(found: DataFrame) -> DataFrame:
     base = F.filter("spans", lambda x: x["base"])
     counts = [F.size(F.filter("spans", partial(_base_of, k))).cast("long").alias(f"n_{k}") for k in KINDS]
-    return found.select("doc_id", *counts, F.sha2(written(base), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"))
+    secrets = F.size(F.filter("spans", lambda x: x["kind"] == "secret")).cast("long")
+    return found.select("doc_id", *counts, F.sha2(written(base), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"), secrets.alias("n_secret"))
