@@ -9,8 +9,9 @@ Documents are dealt into blocks.  A block sends the counts of its distinct
 n-grams, split by hash, to merging tasks; each of these sums the blocks' counts
 and answers every block with the corpus's counts of the n-grams that it asked
 for.  Both exchanges hold a block's n-grams as arrays, sorted and packed by their
-differences, so nothing is sent for each token, nothing comes to the driver, and no table of the corpus's n-grams
-is held in one place.
+differences, so nothing is sent for each token, nothing but the corpus's size comes to the driver, and no table of
+the corpus's n-grams is held in one place.  The numbers of blocks and of merging
+tasks follow the bytes of the corpus, so a task holds as much at any size.
 """
 
 from __future__ import annotations
@@ -20,12 +21,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftwell.llm.common import shuffle_partitions
 from siftwell.llm.shingles import chunks, mix, text_bytes, word_hashes
 
 PRIOR = 20.0  # words' worth of the unigram model in each context
 UNSEEN = 0.5  # added to each word's count
-KEY_BITS = 48  # of an n-gram's hash; the last one tells words from pairs
+LEAST_BLOCKS = 8  # so that small corpora are worked on by several tasks
+BLOCK_BYTES = 8 << 20  # of text that a task counts and scores at once, but for longer documents
 _SINGLE, _START, _PAIR = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03), np.uint64(0xA24BAED4963EE407)
 
 
@@ -62,28 +63,46 @@ def _added(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray
 
 
 def _key(hashes: np.ndarray | np.uint64, word: bool) -> np.ndarray:
-    return (hashes >> np.uint64(64 - KEY_BITS)) & ~np.uint64(1) | np.uint64(word)
+    """The hash with its last bit telling words from pairs."""
+    return hashes & ~np.uint64(1) | np.uint64(word)
 
 
 def _packed(keys: np.ndarray) -> bytes:
-    """Sorted distinct keys as the steps between them, in four bytes each where they fit."""
-    steps = np.diff(keys, prepend=np.uint64(0))
-    small = not len(steps) or int(steps[1:].max(initial=0)) < 1 << 32
-    return bytes([4 if small else 8]) + (keys[:1].tobytes() + steps[1:].astype(np.uint32).tobytes() if small else steps.tobytes())
+    """Sorted distinct keys as the first one and the steps between them, in 4, 6 or 8 bytes each."""
+    if not len(keys):
+        return b"\0"
+    steps = np.diff(keys)
+    most = int(steps.max(initial=0))
+    if most < 1 << 48:
+        high = b"" if most < 1 << 32 else (steps >> np.uint64(32)).astype(np.uint16).tobytes()
+        return bytes([6 if high else 4]) + keys[:1].tobytes() + (steps & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes() + high
+    return b"\x08" + keys[:1].tobytes() + steps.tobytes()
 
 
 def _unpacked(data: bytes) -> np.ndarray:
-    if data[0] == 8:
-        return np.cumsum(np.frombuffer(data, np.uint64, offset=1), dtype=np.uint64)
-    if len(data) == 1:
+    width = data[0]
+    if not width:
         return np.zeros(0, np.uint64)
-    first, steps = np.frombuffer(data, np.uint64, 1, 1), np.frombuffer(data, np.uint32, offset=9)
-    return np.cumsum(np.concatenate([first, steps.astype(np.uint64)]), dtype=np.uint64)
+    n = (len(data) - 9) // width
+    steps = np.frombuffer(data, np.uint64 if width == 8 else np.uint32, n, 9).astype(np.uint64)
+    if width == 6:
+        steps |= np.frombuffer(data, np.uint16, n, 9 + 4 * n).astype(np.uint64) << np.uint64(32)
+    return np.cumsum(np.concatenate([np.frombuffer(data, np.uint64, 1, 1), steps]), dtype=np.uint64)
+
+
+def _narrow(counts: np.ndarray) -> bytes:
+    """Counts in as few bytes each as the largest needs."""
+    width = next(w for w in (1, 2, 4, 8) if int(counts.max(initial=0)) < 1 << (8 * w))
+    return bytes([width]) + counts.astype(f"<u{width}").tobytes()
+
+
+def _wide(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, f"<u{data[0]}", offset=1).astype(np.int64)
 
 
 def _cuts(keys: np.ndarray, parts: int) -> np.ndarray:
     """Where each part's keys begin in sorted keys, and their end: parts are ranges of keys."""
-    part = ((keys >> np.uint64(KEY_BITS - 32)) * np.uint64(parts)) >> np.uint64(32)
+    part = ((keys >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
     return np.searchsorted(part, np.arange(parts + 1, dtype=np.uint64))
 
 
@@ -113,8 +132,8 @@ def _count(parts: int):
                 "part": pa.array(np.arange(parts, dtype=np.int32)),
                 "block": pa.array(np.full(parts, table["block"][0].as_py(), np.int32)),
                 "keys": pa.array([_packed(keys[s]) for s in slices], pa.binary()),
-                "background": pa.array([counts[s, 0].astype(np.uint32).tobytes() for s in slices], pa.binary()),
-                "target": pa.array([counts[s, 1].astype(np.uint32).tobytes() for s in slices], pa.binary()),
+                "background": pa.array([_narrow(counts[s, 0]) for s in slices], pa.binary()),
+                "target": pa.array([_narrow(counts[s, 1]) for s in slices], pa.binary()),
             }
         )
 
@@ -124,13 +143,13 @@ def _count(parts: int):
 def _merge(table: pa.Table) -> pa.Table:
     """Sums of the counts of one part's n-grams, for each block those that it sent, in its order; and the part's words and tokens."""
     keys = [_unpacked(k) for k in table["keys"].to_pylist()]
-    sent = [np.frombuffer(k, np.uint32).astype(np.int64) for name in ("background", "target") for k in table[name].to_pylist()]
+    sent = [_wide(k) for name in ("background", "target") for k in table[name].to_pylist()]
     n = len(keys)
     distinct, at = np.unique(np.concatenate(keys), return_inverse=True)
     total = [np.bincount(at, np.concatenate(sent[k * n : (k + 1) * n]), len(distinct)).astype(np.int64) for k in (0, 1)]
     word = (distinct & np.uint64(1) == 1) & (distinct != _key(_START, True))
     ends = np.cumsum([len(k) for k in keys])
-    answers = [[t[at[e - len(k) : e]].tobytes() for k, e in zip(keys, ends.tolist(), strict=True)] for t in total]
+    answers = [[_narrow(t[at[e - len(k) : e]]) for k, e in zip(keys, ends.tolist(), strict=True)] for t in total]
     same = lambda x: pa.array(np.full(n, x, np.int64))
     return pa.table({"block": table["block"], "part": table["part"], "background": pa.array(answers[0], pa.binary()), "target": pa.array(answers[1], pa.binary()), "words": same(word.sum()), "background_tokens": same(total[0][word].sum()), "target_tokens": same(total[1][word].sum())})
 
@@ -145,7 +164,7 @@ def _score(prior: float):
         ids, texts, target = _texts(docs)
         keys, _ = _block_counts(texts, target)
         rows = sorted(zip(*(answers[c].to_pylist() for c in ("part", "background", "target", "words", "background_tokens", "target_tokens")), strict=True), key=lambda r: r[0])
-        total = np.stack([np.frombuffer(b"".join(r[1 + k] for r in rows), np.int64) for k in (0, 1)], axis=1)
+        total = np.stack([np.concatenate([_wide(r[1 + k]) for r in rows]) for k in (0, 1)], axis=1)
         words, all_tokens = sum(r[3] for r in rows), np.array([sum(r[4 + k] for r in rows) for k in (0, 1)])
         data, offsets = text_bytes(texts)
         n_tokens, losses = np.zeros(len(ids), np.int64), np.zeros((len(ids), 2))
@@ -182,16 +201,18 @@ def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, id_col: str
     at white space, A-Z lower-cased.  A null or empty text has no tokens and
     null losses; a null id is in the background only.  Rows that repeat an id
     are documents of their own.  Other columns are not read; an empty table gives an empty result.
-    ``blocks`` is twice the session's number of shuffle partitions unless given;
-    a block's documents and their distinct n-grams fit a task.
+    ``blocks`` is one for each BLOCK_BYTES of text unless given; a block's
+    documents and their distinct n-grams fit a task.
     """
-    parts = shuffle_partitions(docs.sparkSession)
-    blocks = blocks or 2 * parts
+    if blocks is None:
+        size = docs.agg(F.sum(F.octet_length(F.col(text_col)).cast("long"))).first()[0] or 0
+        blocks = max(LEAST_BLOCKS, -(-size // BLOCK_BYTES))
+    parts = -(-blocks // 2)
     key, text = F.col(id_col).cast("long"), F.col(text_col)
     own = docs.select(key.alias("doc_id"), text.alias("text"), F.lit(True).alias("is_doc"))
     named = target_ids.select(key.alias("doc_id")).where("doc_id is not null").distinct().select("doc_id", F.lit(None).cast("string").alias("text"), F.lit(False).alias("is_doc"))
     place = F.xxhash64("doc_id", F.when(F.col("doc_id").isNull(), F.col("text")))
-    rows = own.unionByName(named).withColumn("block", F.pmod(place, F.lit(blocks)).cast("int"))
+    rows = own.unionByName(named).withColumn("block", F.pmod(place, F.lit(blocks)).cast("int")).repartition(blocks, "block")
     asked = rows.groupBy("block").applyInArrow(_count(parts), "part int, block int, keys binary, background binary, target binary")
-    answers = asked.groupBy("part").applyInArrow(_merge, "block int, part int, background binary, target binary, words long, background_tokens long, target_tokens long")
+    answers = asked.repartition(parts, "part").groupBy("part").applyInArrow(_merge, "block int, part int, background binary, target binary, words long, background_tokens long, target_tokens long").repartition(blocks, "block")
     return rows.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_score(prior), "doc_id long, n_tokens long, target_loss double, background_loss double, score double")
