@@ -103,10 +103,19 @@ def html_title(html: Column) -> Column:
     return F.nullif(F.trim(F.when(has, title).otherwise(heading)), F.lit(""))
 
 
+def html_attribute(inside: Column, name: str) -> Column:
+    """The value of an attribute in what stands inside a tag: quoted either way or bare; empty where it isn't there."""
+    key = rf"(?is)(?:^|[\s\"'/]){name}\s*=\s*"
+    forms = [F.regexp_extract(inside, key + form, 1) for form in (r'"([^"]*)"', r"'([^']*)'", r"([^\s\"'>=]+)")]
+    return F.concat(*forms)  # one of them matches at most
+
+
 def html_meta(html: Column, name: str) -> Column:
-    """The content of a named meta element, null where there is none; of several the last."""
-    tags = F.regexp_extract_all(html, F.lit(rf"(?i)<meta\s+name=[\"']?{name}[\"']?\s+content=[\"']?([^\"']+)[\"']?\s*/?\s*>"), F.lit(1))
-    return F.when(F.size(tags) > 0, F.element_at(tags, -1))
+    """The content of a named meta element, its attributes in any order; null where there is none, of several the last."""
+    tags = F.regexp_extract_all(html, F.lit(r"(?is)<meta\b((?:\"[^\"]*\"|'[^']*'|[^>\"'])*+)>"), F.lit(1))
+    own = F.filter(tags, lambda t: F.lower(html_attribute(t, "name")) == name)
+    values = F.filter(F.transform(own, lambda t: html_attribute(t, "content")), lambda v: v != "")
+    return F.when(F.size(values) > 0, F.element_at(values, -1))
 
 
 def html_keywords(html: Column) -> Column:
@@ -115,10 +124,10 @@ def html_keywords(html: Column) -> Column:
 
 def html_body(html: Column) -> Column:
     """Text of the body without scripts and styles; of the whole page where it has no body."""
-    bare = F.regexp_replace(html, r"(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>", "")
-    body = F.regexp_extract(bare, r"(?is)<body[^>]*>(.*?)(?:</body>|$)", 1)
-    inner = F.when(bare.rlike("(?i)<body[^>]*>"), body).otherwise(html)
-    return F.trim(F.regexp_replace(F.regexp_replace(inner, "<[^>]+>", " "), r"\s+", " "))
+    shown = F.regexp_replace(html, r"(?is)<(script|style)\b.*?</\1\s*>", " ")
+    opened = F.regexp_extract(shown, r"(?is)<body\b(?:\s[^>]*)?>(.*)", 1)
+    inner = F.when(shown.rlike(r"(?i)<body\b"), F.regexp_replace(opened, r"(?is)</body\s*>.*", "")).otherwise(shown)
+    return F.trim(F.regexp_replace(inner, r"(?:<[^>]+>|\s)+", " "))
 
 
 def section_text(title: Column, number: Column, content: Column) -> Column:

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftwell.functions.text import BULLET, count_matches, estimate_tokens
+from siftwell.operators.relational import spread
 
 HEADING = r"^(#+)\s+(.+)$"
 SECTION = "struct<title:string,text:string,level:int,layout:string>"
@@ -65,25 +66,38 @@ def _measured(own: Column, level: Column) -> Column:
 def merged(own: Column, limit: int = 400, split_level: Column | None = None) -> Column:
     """array<struct<title, content, levels>>: neighbouring sections joined while their token estimate stays within the limit.
 
-    The estimate of a joined text follows from three counters, so the fold
-    looks at no text twice. A section at or above ``split_level`` begins a new chunk.
+    The estimate of a joined text follows from three counters.  The fold keeps
+    them and the places where chunks begin, and copies nothing for a section
+    that joins; each chunk is then one slice. A section at or above
+    ``split_level`` begins a new chunk.
     """
-    kind = "array<struct<title:string,parts:array<string>,levels:array<int>,a:int,n:int,w:int>>"
-
-    def fresh(s: Column) -> Column:
-        levels = F.when(s["level"].isNull(), F.array().cast("array<int>")).otherwise(F.array(s["level"]))
-        return F.struct(s["title"].alias("title"), F.array(s["text"]).alias("parts"), levels.alias("levels"), s["a"].alias("a"), s["n"].alias("n"), s["w"].alias("w"))
+    split = split_level if split_level is not None else F.lit(None).cast("int")
+    held = F.filter(_measured(own, split), lambda s: s["text"].rlike(r"\S"))
+    state = lambda at, a, n, w, starts: F.struct(at.alias("at"), a.alias("a"), n.alias("n"), w.alias("w"), starts.alias("starts"))
+    zero = F.lit(0)
 
     def step(out: Column, s: Column) -> Column:
-        last, new = F.element_at(out, -1), fresh(s)
-        a, n, w = last["a"] + s["a"] + 2, last["n"] + s["n"], last["w"] + s["w"]
-        fits = F.ceil(a * 0.25) + n + w <= limit
-        grown = F.struct(last["title"].alias("title"), F.concat(last["parts"], new["parts"]).alias("parts"), F.concat(last["levels"], new["levels"]).alias("levels"), a.alias("a"), n.alias("n"), w.alias("w"))
-        return F.when(s["apart"] | ~fits, F.concat(out, F.array(new))).otherwise(F.concat(F.slice(out, 1, F.size(out) - 1), F.array(grown)))
+        a, n, w = out["a"] + s["a"] + 2, out["n"] + s["n"], out["w"] + s["w"]
+        joins = (out["at"] > 0) & ~s["apart"] & (F.ceil(a * 0.25) + n + w <= limit)
+        new = state(out["at"] + 1, s["a"], s["n"], s["w"], F.concat(out["starts"], F.array(out["at"])))
+        return F.when(joins, state(out["at"] + 1, a, n, w, out["starts"])).otherwise(new)
+
+    def chunk(part: Column) -> Column:
+        levels = F.filter(F.transform(part, lambda s: s["level"]), lambda x: x.isNotNull())
+        return F.struct(F.get(part, zero)["title"].alias("title"), F.array_join(F.transform(part, lambda s: s["text"]), "\n\n").alias("content"), levels.alias("levels"))
+
+    def chunks(parts: Column) -> Column:
+        starts = F.aggregate(parts, state(zero, zero, zero, zero, F.array().cast("array<int>")), step, lambda out: out["starts"])
+        size = lambda all_, x, i: F.coalesce(F.get(all_, i + 1), F.size(parts)) - x
+        cut = lambda all_: F.transform(all_, lambda x, i: F.slice(parts, x + 1, size(all_, x, i)))
+        return F.transform(_let(starts, cut), lambda part: _let(part, chunk))
+
+    return _let(held, chunks)
+
 
-    held = F.filter(_measured(own, split_level if split_level is not None else F.lit(None).cast("int")), lambda s: s["text"].rlike(r"\S"))
-    chunks = F.aggregate(held, F.array().cast(kind), lambda out, s: F.when(F.size(out) == 0, F.array(fresh(s)).cast(kind)).otherwise(step(out, s).cast(kind)))
-    return F.transform(chunks, lambda c: F.struct(c["title"].alias("title"), F.array_join(c["parts"], "\n\n").alias("content"), c["levels"].alias("levels")))
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once however often it is named."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def with_pivot_level(df: DataFrame, sections_col: str = "sections", name: str = "pivot") -> DataFrame:
@@ -194,13 +208,15 @@ def chunk_documents(docs: DataFrame, strategy: str = "smart", id_col: str = "id"
             columns = list(zip(*rows, strict=True)) if rows else [[]] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.string(), pa.string()), strict=True)], names=["document_id", "section_number", "section_title", "content"])
 
-    own = docs.select(F.col(id_col).cast("long").alias("document_id"), F.col(text_col).alias("content"))
+    own = spread(docs.select(F.col(id_col).cast("long").alias("document_id"), F.col(text_col).alias("content")))
     if chunker or strategy == "markdown":
         return own.mapInArrow(run, schema)
     if strategy != "smart":
         raise ValueError(f"unknown strategy {strategy}")
     headed = F.col("content").rlike(r"(?m)" + HEADING)
-    chunks = with_smart_chunks(own.where(headed), "content", doc_type, limit).select("document_id", F.posexplode("chunks").alias("k", "c"))
+    chunks = with_smart_chunks(own.where(headed), "content", doc_type, limit)
+    # An outer generator: for others the optimizer puts a filter on the whole expression below all columns that it uses.
+    chunks = chunks.select("document_id", F.posexplode_outer("chunks").alias("k", "c")).where("k is not null")
     by_heading = chunks.select("document_id", (F.col("k") + 1).cast("int").alias("section_number"), F.col("c.title").alias("section_title"), F.col("c.content").alias("content"))
     plain = own.where(~headed).mapInArrow(run, schema)
     return by_heading.unionByName(plain)

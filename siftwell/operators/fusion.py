@@ -16,6 +16,11 @@ RRF_K = 60
 EQUAL = 1e-9
 
 
+def settled(rows: DataFrame) -> DataFrame:
+    """A result list that a limit has cut, computed once: its few rows come to the driver and are a table of their own."""
+    return rows.sparkSession.createDataFrame(rows.collect(), rows.schema)
+
+
 def _side(df: DataFrame, score: str, name: str, id_col: str) -> DataFrame:
     """id, score and rank of one side; of repeated ids the best stays."""
     best = df.groupBy(F.col(id_col).alias("section_id")).agg(F.max(score).alias(name))

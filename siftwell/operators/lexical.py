@@ -1,6 +1,8 @@
 """Full-text search over sections: by scanning their words, or through a postings table.
 
-A scan evaluates the query on each row and needs no shuffle but the top-k;
+A scan writes each field's words once, with blanks about each, and evaluates
+the query on that text by substring tests and counts, which stay in generated
+code; it needs no shuffle but the top-k, and
 only columns in use are read.  The postings table holds one row for each
 section, field and word; a search reads the rows of its own words, which the
 layout by word makes a small part.
@@ -14,7 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftwell.functions.text import index_languages
-from siftwell.plans.query import All, Any, Node, Not, Term, matches, parse, positive_words
+from siftwell.operators.relational import spread
+from siftwell.plans.query import All, Any, Node, Not, Term, matches, parse, padded, positive_words
 
 K1, B = 1.2, 0.75
 WEIGHTS = {"title": 1.0, "content": 0.4}
@@ -36,8 +39,29 @@ def with_words(sections: DataFrame, title: str = "section_title", content: str =
     return sections.withColumns({"title_words": words(F.col(title)), "content_words": words(F.col(content))})
 
 
+def padded_words(text: Column) -> Column:
+    """The words of ``words`` in one text, each with a blank before and after it, so two blanks between words; two blanks are a text without words."""
+    no_han = (F.octet_length(text) == F.char_length(text)) | ~text.rlike(r"\p{IsHan}")
+    plain = F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}_]*+([\p{L}\p{N}_]++)[^\p{L}\p{N}_]*+|^[^\p{L}\p{N}_]*+$", " $1 ")
+    han = F.concat(F.lit(" "), F.array_join(words(text), "  "), F.lit(" "))
+    return F.when(text.isNull(), "  ").when(no_han, plain).otherwise(han)
+
+
+def with_padded(sections: DataFrame, title: str, content: str) -> DataFrame:
+    """Adds title_words and content_words as padded text. They come out of a generator, so that a filter on them doesn't compute them anew."""
+    both = F.struct(padded_words(F.col(title)).alias("title_words"), padded_words(F.col(content)).alias("content_words"))
+    return spread(sections).select("*", F.inline_outer(F.array(both)))
+
+
+def word_count(words_: Column) -> Column:
+    """Words of a padded text."""
+    return F.when(F.octet_length(words_) <= 2, 0).otherwise(F.octet_length(words_) - F.octet_length(F.replace(words_, F.lit("  "), F.lit(" "))) + 1)
+
+
 def term_frequency(words_: Column, term: str) -> Column:
-    return F.size(F.filter(words_, lambda w: w == term))
+    """How often a padded text has a word."""
+    size = len(f" {term} ".encode())
+    return ((F.octet_length(words_) - F.octet_length(F.replace(words_, F.lit(f" {term} "), F.lit("")))) / size).cast("int")
 
 
 def frequency_rank(terms: list[str], weights: dict[str, float] | None = None) -> Column:
@@ -57,22 +81,20 @@ def search(sections: DataFrame, query: str, limit: int = 20, id_col: str = "sect
     tree = parse(query)
     if tree is None:
         return sections.withColumn("rank_score", F.lit(0.0)).limit(0)
-    held = with_words(sections, title, content)
-    # A phrase doesn't go on from the title into the content.
-    held = held.withColumn("all_words", F.concat("title_words", F.array(F.lit("")), "content_words"))
-    match = matches(tree, F.col("all_words"))
+    held = with_padded(sections, title, content)
+    match = matches(tree, F.col("title_words"), F.col("content_words"))
     terms = positive_words(tree)
     if rank == "frequency" or not terms:
         scored = held.where(match).withColumn("rank_score", frequency_rank(terms, weights))
     else:
         scored = bm25(held, match, terms, weights or WEIGHTS)
-    return scored.drop("title_words", "content_words", "all_words").orderBy(F.desc("rank_score"), F.asc(id_col)).limit(limit)
+    return scored.drop("title_words", "content_words").orderBy(F.desc("rank_score"), F.asc(id_col)).limit(limit)
 
 
 def bm25(held: DataFrame, match: Column, terms: list[str], weights: dict[str, float]) -> DataFrame:
     """BM25 of the weighted fields; lengths and document frequencies come from one aggregate of a single row."""
-    length = F.size("title_words") + F.size("content_words")
-    has = [F.count_if(F.array_contains("title_words", t) | F.array_contains("content_words", t)) for t in terms]
+    length = word_count(F.col("title_words")) + word_count(F.col("content_words"))
+    has = [F.count_if(F.contains("title_words", F.lit(padded([t]))) | F.contains("content_words", F.lit(padded([t])))) for t in terms]
     stats = held.agg(F.count("*").alias("__n"), F.avg(length).alias("__avg"), F.array(*has).alias("__df"))
     out = held.where(match).crossJoin(F.broadcast(stats))
     total = F.lit(0.0)
@@ -95,11 +117,11 @@ def postings(sections: DataFrame, id_col: str = "section_id", document_col: str
 
     Write it partitioned or sorted by word, so that a search reads its words' files only.
     """
-    held = with_words(sections, title, content)
+    held = with_words(spread(sections), title, content)
     base = [F.col(id_col).alias("section_id"), F.col(document_col).alias("document_id"), index_languages(F.col(content), F.col(language_col)).alias("languages"), (F.size("title_words") + F.size("content_words")).alias("length")]
     rows = held.select(*base, *(f"{f}_words" for f in WEIGHTS))  # before the explosion, or it is computed for each word
     names = ("section_id", "document_id", "languages", "length")
-    fields = [rows.select(*names, F.lit(f).alias("field"), F.posexplode(f"{f}_words").alias("position", "word")) for f in WEIGHTS]
+    fields = [rows.select(*names, F.lit(f).alias("field"), F.posexplode_outer(f"{f}_words").alias("position", "word")).where("position is not null") for f in WEIGHTS]
     rows = fields[0].unionByName(fields[1])
     out = rows.groupBy("section_id", "document_id", "languages", "length", "field", "word").agg(F.sort_array(F.collect_list("position")).alias("positions"))
     return out.withColumn("frequency", F.size("positions"))
@@ -197,7 +219,7 @@ def highlight(text: Column, terms: list[str], most: int = 50, least: int = 15, f
 def suggest(sections: DataFrame, prefix: str, limit: int = 10, content: str = "content") -> DataFrame:
     """word and count of the most frequent words that begin with ``prefix``, of two characters at least."""
     own = prefix.strip().lower()
-    rows = sections.select(F.explode(F.filter(F.transform(F.regexp_extract_all(F.coalesce(F.col(content), F.lit("")), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)), F.lower), lambda w: F.startswith(w, F.lit(own)))).alias("word"))
+    rows = spread(sections.select(content)).select(F.explode_outer(F.filter(F.transform(F.regexp_extract_all(F.coalesce(F.col(content), F.lit("")), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)), F.lower), lambda w: F.startswith(w, F.lit(own)))).alias("word")).where("word is not null")
     counts = rows.groupBy("word").agg(F.count("*").alias("count"))
     return counts.orderBy(F.desc("count"), "word").limit(limit if len(own) >= 2 else 0)
 
@@ -205,7 +227,7 @@ def suggest(sections: DataFrame, prefix: str, limit: int = 10, content: str = "c
 def spelling(sections: DataFrame, query: str, limit: int = 3, content: str = "content") -> DataFrame:
     """Words of the sections that begin like words of the query of three characters or more, the nearest in spelling first."""
     asked = [w for w in query.strip().lower().split() if len(w) >= 3]
-    rows = sections.select(F.explode(F.array_distinct(words(F.col(content)))).alias("word"))
+    rows = spread(sections.select(content)).select(F.explode_outer(F.array_distinct(words(F.col(content)))).alias("word"))
     like = reduce(lambda a, b: a | b, (F.startswith("word", F.lit(w[:4])) for w in asked), F.lit(False))
     distance = reduce(lambda a, b: F.least(a, b), (F.levenshtein("word", F.lit(w)) for w in asked)) if len(asked) > 1 else F.levenshtein("word", F.lit(asked[0] if asked else ""))
     return rows.where(like).groupBy("word").agg(F.count("*").alias("sections")).withColumn("distance", distance).orderBy("distance", F.desc("sections"), "word").limit(limit)

@@ -129,3 +129,10 @@ def coverage(documents: DataFrame, sections: DataFrame, embeddings: DataFrame) -
 def table_counts(tables: dict[str, DataFrame]) -> DataFrame:
     """name and count of each table, in one plan."""
     return reduce(DataFrame.unionAll, (df.agg(F.lit(name).alias("name"), F.count("*").alias("count")) for name, df in tables.items()))
+
+
+def spread(rows: DataFrame, least_bytes: int = 64 << 20) -> DataFrame:
+    """``rows`` dealt out to all cores where their table is so small that it may be read by one task; larger tables are read by many and stay as they are."""
+    spark = rows.sparkSession
+    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return rows.repartition(spark.sparkContext.defaultParallelism) if size < least_bytes else rows

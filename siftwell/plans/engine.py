@@ -61,9 +61,9 @@ def hybrid(sections: DataFrame, vectors: DataFrame, query: str, query_vector: li
     """
     limit, alpha = fusion.clamp_limit(limit), fusion.alpha_for(fusion.clamp_alpha(alpha), query, language)
     pool = fusion.pool_size(rerank_limit, limit)
-    text = lexical.search(sections, query, pool, rank=rank).select("section_id", "rank_score")
+    text = fusion.settled(lexical.search(sections, query, pool, rank=rank).select("section_id", "rank_score"))
     near = vector.cascade(vectors, query_vector, pool, threshold, fallback, id_col="section_id").select("section_id", "similarity")
-    fused = fusion.combine(method, text, near, alpha).limit(pool)
+    fused = fusion.settled(fusion.combine(method, text, fusion.settled(near), alpha).limit(pool))
     names = sections.join(F.broadcast(fused), "section_id")
     if tag_lists is not None:
         own = tag_lists.join(F.broadcast(fused.select(F.col("section_id").alias("__s"))), F.col("section_id") == F.col("__s"), "left_semi").select(F.col("section_id").alias("__t"), "tags")

@@ -234,7 +234,8 @@ PAIR = f"{TEXT20}, {SIM}, n AS (SELECT id AS section_id, sim AS similarity FROM
 def _pair(spark, sf) -> tuple[DataFrame, DataFrame]:
     (q,) = vector_of(spark, sf, 0)
     text = lexical.search(sections(spark, sf), "the of", 64).select("section_id", "rank_score")
-    return text, vector.nearest(vectors(spark, sf).withColumnRenamed("id", "section_id"), q, 64, "section_id").select("section_id", "similarity")
+    near = vector.nearest(vectors(spark, sf).withColumnRenamed("id", "section_id"), q, 64, "section_id").select("section_id", "similarity")
+    return fusion.settled(text), fusion.settled(near)
 
 
 @query(f"WITH {PAIR} SELECT section_id, round(coalesce(1.0 / (60 + rt), 0) + coalesce(1.0 / (60 + rv), 0), 6) AS combined_score FROM tr FULL JOIN vr USING (section_id)")
@@ -342,12 +343,12 @@ for _policy, _case in {
 
 @query("SELECT doc_id, ceil(0.25 * len(regexp_replace(text, '[^\\x00-\\x7F]', '', 'g')))::BIGINT + len(text) - len(regexp_replace(text, '[^\\x00-\\x7F]', '', 'g')) + len(regexp_extract_all(text, '[A-Za-z0-9_]+')) AS tokens FROM documents")
 def token_estimate(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", T.estimate_tokens(F.col("text")).alias("tokens"))
+    return relational.spread(table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", T.estimate_tokens(F.col("text")).alias("tokens"))
 
 
 @query("SELECT token, count(*) AS count FROM (SELECT lower(unnest(regexp_extract_all(text, '[A-Za-z0-9_]+'))) AS token FROM documents) GROUP BY 1")
 def tokenized(spark, sf):
-    return table(spark, sf, "documents").select(F.explode(T.tokenize(F.col("text"))).alias("token")).groupBy("token").agg(F.count("*").alias("count"))
+    return relational.spread(table(spark, sf, "documents").select("text")).select(F.explode_outer(T.tokenize(F.col("text"))).alias("token")).where("token is not null").groupBy("token").agg(F.count("*").alias("count"))
 
 
 @query("SELECT page_id, trim(regexp_extract(html, '(?is)<title>(.*?)</title>', 1)) AS title, NULLIF(regexp_extract(html, '(?i)<meta\\s+name=[\"'']?author[\"'']?\\s+content=[\"'']?([^\"'']+)[\"'']?\\s*/?\\s*>', 1), '') AS author, len(trim(regexp_replace(regexp_replace(regexp_extract(regexp_replace(html, '(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>', '', 'g'), '(?is)<body[^>]*>(.*?)(?:</body>|$)', 1), '<[^>]+>', ' ', 'g'), '\\s+', ' ', 'g'))) AS body_chars FROM pages")
@@ -589,7 +590,7 @@ def _marked(spark, sf) -> DataFrame:
 
 @query(None)
 def chunk_headings(spark, sf):
-    return chunking.with_sections(_marked(spark, sf), "content").select("section_id", F.posexplode("sections").alias("k", "s")).select("section_id", "k", "s.*")
+    return chunking.with_sections(_marked(spark, sf), "content").select("section_id", F.posexplode_outer("sections").alias("k", "s")).where("k is not null").select("section_id", "k", "s.*")
 
 
 @query(None)

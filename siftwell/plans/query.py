@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -166,20 +167,17 @@ def positive_words(tree: Node | None) -> list[str]:
     return list(dict.fromkeys(w for p in tree.parts for w in positive_words(p)))
 
 
-def matches(tree: Node, words: Column) -> Column:
-    """Whether an array of words fulfils the tree."""
+def padded(words: list[str] | tuple[str, ...]) -> str:
+    """Words as they stand in a padded text one after the other."""
+    return "".join(f" {w} " for w in words)
+
+
+def matches(tree: Node, *texts: Column) -> Column:
+    """Whether padded texts fulfil the tree together; a phrase lies in one of them."""
     if isinstance(tree, Not):
-        return ~matches(tree.part, words)
+        return ~matches(tree.part, *texts)
     if isinstance(tree, (All, Any)):
-        out = matches(tree.parts[0], words)
-        for part in tree.parts[1:]:
-            out = out & matches(part, words) if isinstance(tree, All) else out | matches(part, words)
-        return out
-    if len(tree.words) > 1:
-        first, size = tree.words[0], len(tree.words)
-        rest = [F.lit(w) for w in tree.words]
-        here = F.filter(F.transform(words, lambda w, i: F.when(w == first, i + 1)), lambda i: i.isNotNull())
-        return F.exists(here, lambda i: F.slice(words, i, F.lit(size)) == F.array(*rest))
-    if tree.prefix:
-        return F.exists(words, lambda w: F.startswith(w, F.lit(tree.words[0])))
-    return F.array_contains(words, tree.words[0])
+        parts = [matches(part, *texts) for part in tree.parts]
+        return reduce(lambda a, b: a & b if isinstance(tree, All) else a | b, parts)
+    wanted = F.lit(f" {tree.words[0]}" if tree.prefix else padded(tree.words))
+    return reduce(lambda a, b: a | b, (F.contains(text, wanted) for text in texts))
