@@ -17,7 +17,8 @@ each followed by connected components:
    root of the largest one, the bucket's pivot.
 3. What is left is compared in pairs, but for those that can't be similar:
    shingles that no other open node has are counted, two nodes can't share more
-   than both have in common with the pivot, and beyond that no more than
+   of the pivot's than either has, nor more than neither misses, where bits
+   show which of those both may miss; and beyond that no more than
    either has of shingles that are neither the pivot's nor its own.
 
 So a bucket of thousands of near copies costs a few comparisons for each, no
@@ -43,6 +44,7 @@ WORDS = 5
 SIMILARITY = 75  # percent
 PERMUTATIONS = 100
 BAND_ROWS = 5
+MASKS = 8  # words of 64 bits, a power of two
 FIRST_BANDS = 5  # shared buckets that make a node a likely match
 
 _RANDOM = np.random.default_rng(7)
@@ -111,12 +113,29 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """a, b, common and enough of ``pairs`` (a, b and maybe b's shingles): the size of what two nodes share, and whether they are similar enough."""
+    """a, b, size_a, common, enough and masks of ``pairs`` (a, b and maybe b's shingles): the size of a and of what both share, whether they are similar enough, and bits for the shingles of a that b misses."""
     if "shingles" not in pairs.columns:
         pairs = pairs.join(sets.select(F.col("node").alias("__b"), "shingles"), F.col("b") == F.col("__b"))
     both = pairs.join(sets.select(F.col("node").alias("__a"), F.col("shingles").alias("others")), F.col("a") == F.col("__a"))
-    both = both.select("a", "b", F.size(F.array_intersect("shingles", "others")).alias("common"), (F.size("shingles") + F.size("others")).alias("sum"))
-    return both.select("a", "b", "common", (100 * F.col("common") >= SIMILARITY * (F.col("sum") - F.col("common"))).alias("enough"))
+    both = both.select("a", "b", F.size("others").alias("size_a"), F.size("shingles").alias("size_b"), F.array_except("others", "shingles").alias("missing"))
+    masks = [_mask(k).alias(f"mask{k}") for k in range(MASKS)]
+    both = both.select("a", "b", "size_a", "size_b", F.size("missing").alias("miss"), *masks)
+    common = F.col("size_a") - F.col("miss")
+    return both.select("a", "b", "size_a", common.alias("common"), (100 * common >= SIMILARITY * (F.col("size_b") + F.col("miss"))).alias("enough"), *(f"mask{k}" for k in range(MASKS)))
+
+
+def _mask(word: int):
+    """A word of the bits of the missing shingles."""
+    here = F.filter("missing", lambda x: F.shiftright(x, 6).bitwiseAND(MASKS - 1) == word)
+    return F.aggregate(here, F.lit(0).cast("long"), lambda bits, x: bits.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(63).cast("int"))))
+
+
+def _both_miss(one: str, two: str):
+    """The most shingles that two nodes can both miss: those of bits that both have, and what shares a bit with another."""
+    def single(x: str):
+        return F.col("miss" + x) - sum(F.bit_count(f"mask{k}{x}") for k in range(MASKS))
+
+    return sum(F.bit_count(F.col(f"mask{k}{one}").bitwiseAND(F.col(f"mask{k}{two}"))) for k in range(MASKS)) + F.least(single(one), single(two))
 
 
 def own_shingles(sets: DataFrame) -> DataFrame:
@@ -222,20 +241,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if not open_.isEmpty():
         left = open_.select(F.explode(F.array("node", "pivot")).alias("__n")).distinct()
         rare = own_shingles(sets.join(left, F.col("node") == F.col("__n"), "left_semi"))
-        close = open_.join(rare.withColumnRenamed("node", "__r"), F.col("node") == F.col("__r"), "left").join(known.select("a", "b", "common"), (F.col("pivot") == F.col("a")) & (F.col("node") == F.col("b")), "left")
-        close = close.select("bucket", "node", "n", "root", "main", F.coalesce("own", F.lit(0)).alias("own"), F.when(F.col("pivot") == F.col("node"), F.col("n")).otherwise(F.coalesce("common", F.lit(0))).alias("with_pivot"))
+        close = open_.join(rare.withColumnRenamed("node", "__r"), F.col("node") == F.col("__r"), "left").join(known.drop("enough"), (F.col("pivot") == F.col("a")) & (F.col("node") == F.col("b")), "left")
+        close = close.select("bucket", "node", "n", "root", "main", F.coalesce("own", F.lit(0)).alias("own"), F.coalesce("common", "n").alias("with_pivot"), "size_a", F.coalesce(F.col("size_a") - F.col("common"), F.lit(0)).alias("miss"), *(F.coalesce(f"mask{k}", F.lit(0)).alias(f"mask{k}") for k in range(MASKS)))
         # Nothing of its own can a node share; what is neither that nor the pivot's, it can share with such shingles of another.
         close = keep(close.withColumn("else", F.greatest(F.col("n") - F.col("with_pivot") - F.col("own"), F.lit(0))).where(100 * (F.col("n") - F.col("own")) >= SIMILARITY * F.col("n")))
         # A pair is taken in the smallest of its buckets only; a node has one bucket for each band at most.
         buckets_of = close.groupBy("node").agg(F.collect_list("bucket").alias("buckets")).withColumnRenamed("node", "of")
         close = keep(close.join(buckets_of, F.col("node") == F.col("of")).drop("of"))
-        names = ("node", "n", "root", "own", "with_pivot", "else", "buckets")
+        names = ("node", "n", "root", "own", "with_pivot", "size_a", "else", "buckets", "miss", *(f"mask{k}" for k in range(MASKS)))
         # What lies outside a bucket's largest component against all that is in another component.
         one = close.where("root <> main").select("bucket", *(F.col(c).alias(c + "1") for c in names))
         two = close.select("bucket", "main", *(F.col(c).alias(c + "2") for c in names))
         once = (F.col("root2") == F.col("main")) | (F.col("node1") < F.col("node2"))
         low = lambda c: F.least(F.col(c + "1"), F.col(c + "2"))
-        most = F.least(low("with_pivot") + low("else"), F.col("n1") - F.col("own1"), F.col("n2") - F.col("own2"))
+        # The pivot itself misses nothing, and its size is not needed then.
+        inside = F.least(low("with_pivot"), F.coalesce("size_a1", "size_a2") - F.col("miss1") - F.col("miss2") + _both_miss("1", "2"))
+        most = F.least(inside + low("else"), F.col("n1") - F.col("own1"), F.col("n2") - F.col("own2"))
         can = 100 * most >= SIMILARITY * (F.col("n1") + F.col("n2") - most)
         here = F.col("bucket") == F.array_min(F.array_intersect("buckets1", "buckets2"))
         rest = one.join(two, "bucket").where((F.col("root1") != F.col("root2")) & once & can & here)
