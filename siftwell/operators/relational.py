@@ -131,6 +131,12 @@ def table_counts(tables: dict[str, DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionAll, (df.agg(F.lit(name).alias("name"), F.count("*").alias("count")) for name, df in tables.items()))
 
 
+def with_documents(sections: DataFrame, documents: DataFrame) -> DataFrame:
+    """Sections with the language and title of their documents; null where the document's row is missing."""
+    docs = documents.select(F.col("id").alias("__d"), "language", F.col("title").alias("document_title"))
+    return sections.join(docs, F.col("document_id") == F.col("__d"), "left").drop("__d")
+
+
 def spread(rows: DataFrame, least_bytes: int = 64 << 20) -> DataFrame:
     """``rows`` dealt out to all cores where their table is so small that it may be read by one task; larger tables are read by many and stay as they are."""
     spark = rows.sparkSession

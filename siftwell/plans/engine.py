@@ -155,9 +155,8 @@ class Engine:
     # Searching
 
     def _sections(self) -> DataFrame:
-        docs = self.store.read("source_documents").select(F.col("id").alias("__d"), "language", F.col("title").alias("document_title"))
         own = self.store.read("source_sections").withColumnRenamed("id", "section_id")
-        return own.join(docs, F.col("document_id") == F.col("__d")).drop("__d")
+        return relational.with_documents(own, self.store.read("source_documents"))
 
     def _vectors(self, sections: DataFrame) -> DataFrame:
         own = self.store.read("embeddings").select(F.col("source_id").alias("section_id"), "vector", "created_at")

@@ -8,6 +8,7 @@ logs; regions, nations, customers and suppliers are a forest of tags.
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,6 +21,7 @@ from siftwell.plans.query import relax
 from siftwell.schemas import LANGUAGE_CONFIGS, violations
 from siftwell.sources import embeddings as embedding_source
 from siftwell.sources.readers import html_metadata
+from siftwell.streaming import index
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -220,11 +222,17 @@ def text_highlight(spark, sf):
     return sections(spark, sf).where(F.col("language") == "en").select("section_id", lexical.highlight(F.col("content"), ["the", "and"]).alias("snippet"))
 
 
-@query(None)
+@query(f"WITH {W}, x AS (SELECT DISTINCT section_id, unnest(cw) AS word FROM w) SELECT word, count(*) AS sections, levenshtein(word, 'thinn')::INT AS distance FROM x WHERE starts_with(word, 'thin') GROUP BY 1 ORDER BY 3, 2 DESC, 1 LIMIT 3")
 def text_spelling(spark, sf):
     return lexical.spelling(sections(spark, sf), "thinn", 3)
 
 
+@query(f"WITH {W} SELECT section_id, round(1e0 * {tf('from', 'tw')} + 5e-1 * {tf('from', 'cw')}, 4) AS rank_score FROM w WHERE list_contains(tw, 'from') OR list_contains(cw, 'from') ORDER BY rank_score DESC, section_id LIMIT 25")
+def text_weighted(spark, sf):
+    found = lexical.search(sections(spark, sf), "from", 25, rank="frequency", weights=lexical.field_weights("1.0, 0.5"))
+    return found.select("section_id", F.round("rank_score", 4).alias("rank_score"))
+
+
 # Fusion
 
 TEXT20 = f"{W}, {bm25_sql(['the', 'of'], "list_contains(cw, 'the') OR list_contains(cw, 'of') OR list_contains(tw, 'the') OR list_contains(tw, 'of')", 64)}"
@@ -573,6 +581,48 @@ def log_flags(spark, sf):
     return logs.with_flags(search_logs(spark, sf)).select("id", "successful", "slow", F.get_json_object("filters", "$.k").cast("int").alias("k"))
 
 
+@query(f"WITH {LOGS} SELECT date_trunc('day', created_at) AS window_start, date_trunc('day', created_at) + INTERVAL 1 DAY AS window_end, query, count(*) AS count FROM l GROUP BY ALL")
+def log_popularity(spark, sf):
+    return index.popularity(search_logs(spark, sf), "1 day", "1 day")
+
+
+@query(f"WITH {LOGS} SELECT id, query, search_type, created_at FROM l WHERE created_at >= (SELECT min(ts) + INTERVAL 1 DAY FROM events) AND created_at <= (SELECT min(ts) + INTERVAL 3 DAY FROM events)")
+def log_export(spark, sf):
+    rows = search_logs(spark, sf)
+    (first,) = rows.agg(F.min("created_at")).first()
+    return logs.export(rows, "", first + timedelta(days=1), first + timedelta(days=3), "rows").select("id", "query", "search_type", "created_at")
+
+
+@query("WITH o AS (SELECT o_custkey AS section_id, o_orderkey % 5 AS batch, o_orderkey AS word FROM orders) SELECT o.section_id, o.batch, o.word FROM o JOIN (SELECT section_id, max(batch) AS last FROM o GROUP BY 1) x ON o.section_id = x.section_id AND o.batch = x.last")
+def index_latest(spark, sf):
+    """Postings written in batches: orders play rows, customers sections."""
+    o = table(spark, sf, "orders")
+    return index.latest_rows(o.select(F.col("o_custkey").alias("section_id"), F.pmod("o_orderkey", F.lit(5)).alias("batch"), F.col("o_orderkey").alias("word")))
+
+
+# Sections, documents and their vectors
+
+
+@query(f"WITH {S} SELECT section_id, d.lang AS language, d.source AS document_title FROM s LEFT JOIN (SELECT * FROM documents WHERE lang <> 'de') d ON d.doc_id = s.document_id")
+def section_documents(spark, sf):
+    docs = table(spark, sf, "documents").where("lang <> 'de'").select(F.col("doc_id").alias("id"), F.col("lang").alias("language"), F.col("source").alias("title"))
+    return relational.with_documents(sections(spark, sf).drop("language"), docs).select("section_id", "language", "document_title")
+
+
+@query(f"WITH {S} SELECT section_id AS source_id, len(CASE WHEN regexp_matches(section_title, '[^ \t\n\x0B\f\r]') THEN 'Title: ' || section_title || chr(10) || chr(10) ELSE '' END || 'Section: ' || section_id || chr(10) || chr(10) || content) AS size FROM s WHERE content IS NOT NULL")
+def embedding_batches(spark, sf):
+    """Batches of texts to vectors; the provider gives a text's length."""
+    rows = sections(spark, sf).where("content is not null").withColumn("section_number", F.col("section_id"))
+    found = embedding_source.embed(rows, lambda texts: [[float(len(t))] for t in texts], id_col="section_id")
+    return found.where("error is null").select("source_id", F.get("vector", F.lit(0)).cast("long").alias("size"))
+
+
+@query("SELECT count(*) FILTER (vec_id % 7 <> 0) AS success, count(*) FILTER (vec_id % 7 = 0) AS failed FROM embeddings")
+def embedding_tally(spark, sf):
+    rows = table(spark, sf, "embeddings").select(F.col("vec_id").alias("source_id"), F.when(F.col("vec_id") % 7 == 0, "failed").alias("error"))
+    return embedding_source.tally(rows)
+
+
 # Chunks and answers
 
 
