@@ -91,13 +91,15 @@ def _unpacked(data: bytes) -> np.ndarray:
 
 
 def _narrow(counts: np.ndarray) -> bytes:
-    """Counts in as few bytes each as the largest needs."""
-    width = next(w for w in (1, 2, 4, 8) if int(counts.max(initial=0)) < 1 << (8 * w))
-    return bytes([width]) + counts.astype(f"<u{width}").tobytes()
+    """Counts in a byte each; those of 255 and more stand behind them in full."""
+    return np.uint32(len(counts)).tobytes() + np.minimum(counts, 255).astype(np.uint8).tobytes() + counts[counts >= 255].astype("<u8").tobytes()
 
 
 def _wide(data: bytes) -> np.ndarray:
-    return np.frombuffer(data, f"<u{data[0]}", offset=1).astype(np.int64)
+    n = int(np.frombuffer(data, np.uint32, 1)[0])
+    out = np.frombuffer(data, np.uint8, n, 4).astype(np.int64)
+    out[out == 255] = np.frombuffer(data, "<u8", offset=4 + n).astype(np.int64)
+    return out
 
 
 def _cuts(keys: np.ndarray, parts: int) -> np.ndarray:
@@ -212,7 +214,7 @@ def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, id_col: str
     own = docs.select(key.alias("doc_id"), text.alias("text"), F.lit(True).alias("is_doc"))
     named = target_ids.select(key.alias("doc_id")).where("doc_id is not null").distinct().select("doc_id", F.lit(None).cast("string").alias("text"), F.lit(False).alias("is_doc"))
     place = F.xxhash64("doc_id", F.when(F.col("doc_id").isNull(), F.col("text")))
-    rows = own.unionByName(named).withColumn("block", F.pmod(place, F.lit(blocks)).cast("int")).repartition(blocks, "block")
+    rows = own.unionByName(named).withColumn("block", F.pmod(place, F.lit(blocks)).cast("int")).repartitionById(blocks, "block")
     asked = rows.groupBy("block").applyInArrow(_count(parts), "part int, block int, keys binary, background binary, target binary")
-    answers = asked.repartition(parts, "part").groupBy("part").applyInArrow(_merge, "block int, part int, background binary, target binary, words long, background_tokens long, target_tokens long").repartition(blocks, "block")
+    answers = asked.repartitionById(parts, "part").groupBy("part").applyInArrow(_merge, "block int, part int, background binary, target binary, words long, background_tokens long, target_tokens long").repartitionById(blocks, "block")
     return rows.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_score(prior), "doc_id long, n_tokens long, target_loss double, background_loss double, score double")
