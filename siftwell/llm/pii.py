@@ -40,10 +40,10 @@ BASE = {
     "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", "+"),
 }
 LOOSE = {
-    "email": (rf"(?<![{_LOCAL}])[{_LOCAL}]++\x20?[\[(](?:at|AT)[\])]\x20?[A-Za-z0-9-]++(?:\x20?(?:\.|[\[(](?:dot|DOT)[\])])\x20?[A-Za-z0-9-]++)++", "at AT"),
+    "email": (rf"(?<![{_LOCAL}])[{_LOCAL}]++\x20?[\[(](?:at|AT)[\])]\x20?[A-Za-z0-9-]++(?:\x20?(?:\.|[\[(](?:dot|DOT)[\])])\x20?[A-Za-z0-9-]++)++", "(at [at (AT [AT"),
     "ip": (r"(?<![0-9A-Za-z:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Za-z:])", ":"),
     "phone": (r"(?<![0-9+().-])(?:\([0-9]{3}\)\x20?|[0-9]{3}[.-])[0-9]{3}[.-][0-9]{4}(?![0-9.-])", ""),
-    "secret": (r"(?:(?i:token|secret|password|passwd|credential|api_?-?key|access_?-?key|private_?-?key)[\"']?\x20?[:=]\x20?[\"']?|(?<![A-Za-z0-9])(?=AKIA|gh[ops]_|sk-|xox[bp]-))[A-Za-z0-9+/_-]{16,}+", "oken OKEN ecret ECRET assw ASSW redential REDENTIAL key Key KEY AKIA gh sk- xox"),
+    "secret": (r"(?:(?i:token|secret|password|passwd|credential|api_?-?key|access_?-?key|private_?-?key)[\"']?\x20?[:=]\x20?[\"']?|(?<![A-Za-z0-9])(?=AKIA|gh[ops]_|sk-|xox[bp]-))[A-Za-z0-9+/_-]{16,}+", "oken OKEN ecret ECRET assw ASSW redential REDENTIAL key Key KEY AKIA ghp_ gho_ ghs_ sk- xoxb- xoxp-"),
 }
 SECRET_VALUE = "[A-Za-z0-9+/_-]++$"  # the end of a match that is the secret itself
 #: Gazetteers: top-level domains, first digits of card numbers, calling codes.
