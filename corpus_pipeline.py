@@ -51,7 +51,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("packing", pack),
 ]
 
-#: SQL can't express the stages; tests hold run() against brute force.
+#: SQL cannot express the stages; tests hold the operators against brute force, and run() against the stages one by one.
 ORACLE_SQL = None
 
 
