@@ -32,7 +32,7 @@ CONTEXT = 40  # characters before a candidate that its context labeler reads: ro
 SURE = 0.5
 
 _LOCAL = "A-Za-z0-9._%+-"
-#: Patterns: kind, pattern, and texts of which a match has one at least.
+#: Patterns: kind, pattern, and texts of which a match in lower case has one at least.
 BASE = {
     "email": (rf"(?:\G|(?<![{_LOCAL}]))[{_LOCAL}]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", "@"),
     "ip": (r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", "."),
@@ -40,10 +40,10 @@ BASE = {
     "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", "+"),
 }
 LOOSE = {
-    "email": (rf"(?<![{_LOCAL}])[{_LOCAL}]++\x20?[\[(](?:at|AT)[\])]\x20?[A-Za-z0-9-]++(?:\x20?(?:\.|[\[(](?:dot|DOT)[\])])\x20?[A-Za-z0-9-]++)++", "(at [at (AT [AT"),
+    "email": (rf"(?<![{_LOCAL}])[{_LOCAL}]++\x20?[\[(](?:at|AT)[\])]\x20?[A-Za-z0-9-]++(?:\x20?(?:\.|[\[(](?:dot|DOT)[\])])\x20?[A-Za-z0-9-]++)++", "(at [at"),
     "ip": (r"(?<![0-9A-Za-z:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Za-z:])", ":"),
     "phone": (r"(?<![0-9+().-])(?:\([0-9]{3}\)\x20?|[0-9]{3}[.-])[0-9]{3}[.-][0-9]{4}(?![0-9.-])", ""),
-    "secret": (r"(?:(?i:token|secret|password|passwd|credential|api_?-?key|access_?-?key|private_?-?key)[\"']?\x20?[:=]\x20?[\"']?|(?<![A-Za-z0-9])(?=AKIA|gh[ops]_|sk-|xox[bp]-))[A-Za-z0-9+/_-]{16,}+", "oken OKEN ecret ECRET assw ASSW redential REDENTIAL key Key KEY AKIA ghp_ gho_ ghs_ sk- xoxb- xoxp-"),
+    "secret": (r"(?:(?i:token|secret|password|passwd|credential|api_?-?key|access_?-?key|private_?-?key)[\"']?\x20?[:=]\x20?[\"']?|(?<![A-Za-z0-9])(?=AKIA|gh[ops]_|sk-|xox[bp]-))[A-Za-z0-9+/_-]{16,}+", "token secret passw credential key akia ghp_ gho_ ghs_ sk- xoxb- xoxp-"),
 }
 SECRET_VALUE = "[A-Za-z0-9+/_-]++$"  # the end of a match that is the secret itself
 #: Gazetteers: top-level domains, first digits of card numbers, calling codes.
@@ -58,9 +58,9 @@ WORDS = {
 LABELERS = ("format", "gazetteer", "context", "surroundings")
 
 
-def _matches(text: Column, pattern: str, needs: str) -> tuple[Column, Column]:
-    """The matches of a pattern and the texts between them; texts that can't have one are not searched."""
-    can = reduce(lambda a, b: a | b, (F.contains(text, F.lit(x)) for x in needs.split())) if needs else text.rlike("[0-9]")
+def _matches(text: Column, low: Column, pattern: str, needs: str) -> tuple[Column, Column]:
+    """The matches of a pattern and the texts between them; texts that can't have one, by their lower case, are not searched."""
+    can = reduce(lambda a, b: a | b, (F.contains(low, F.lit(x)) for x in needs.split())) if needs else text.rlike("[0-9]")
     found = F.when(can, F.regexp_extract_all(text, F.lit(pattern), F.lit(0))).otherwise(F.array().cast("array<string>"))
     return found, F.when(can, F.split(text, pattern, -1)).otherwise(F.array().cast("array<string>"))
 
@@ -139,11 +139,11 @@ def _span(kind: str, base: bool, c: Column) -> Column:
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and spans, array<struct<kind, start, end, base, votes, shape>>: kind counts from 0, shape is 0 to 3 by length."""
     text = F.col("text")
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text")).withColumn("low", F.lower("text"))
     sets = [(k, True, *BASE[k]) for k in KINDS] + [(k, False, *LOOSE[k]) for k in ALL_KINDS if k in LOOSE]
     found = []
     for n, (_, _, pattern, needs) in enumerate(sets):
-        a, b = _matches(text, pattern, needs)
+        a, b = _matches(text, F.col("low"), pattern, needs)
         found += [a.alias(f"m{n}"), b.alias(f"b{n}")]
     rows = rows.select("doc_id", *found)
     rows = rows.select("doc_id", *(_placed(F.col(f"m{n}"), F.col(f"b{n}")).alias(f"c{n}") for n in range(len(sets))))
