@@ -12,6 +12,11 @@ def literal(vector: list[float]) -> Column:
     return F.array(*(F.lit(float(x)) for x in vector))
 
 
+def parsed(text: Column) -> Column:
+    """The vector that a text such as ``[0.1, 0.2]`` writes out; null where it isn't one."""
+    return F.try_variant_get(F.try_parse_json(text), "$", "array<float>")
+
+
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 

@@ -91,6 +91,17 @@ def search(sections: DataFrame, query: str, limit: int = 20, id_col: str = "sect
     return scored.drop("title_words", "content_words").orderBy(F.desc("rank_score"), F.asc(id_col)).limit(limit)
 
 
+def quick(sections: DataFrame, query: str, limit: int = 10, id_col: str = "section_id") -> DataFrame:
+    """The ids and ranks of the best sections and nothing else."""
+    return search(sections, query, limit, id_col).select(id_col, "rank_score")
+
+
+def search_with_snippets(sections: DataFrame, query: str, limit: int = 20, content: str = "content", **options) -> DataFrame:
+    """As search, with a snippet of each of its rows. Snippets are made after the limit."""
+    found = search(sections, query, limit, content=content, **options)
+    return found.withColumn("snippet", highlight(F.col(content), positive_words(parse(query))))
+
+
 def bm25(held: DataFrame, match: Column, terms: list[str], weights: dict[str, float]) -> DataFrame:
     """BM25 of the weighted fields; lengths and document frequencies come from one aggregate of a single row."""
     length = word_count(F.col("title_words")) + word_count(F.col("content_words"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import datetime, timedelta
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -32,6 +32,16 @@ def recent(df: DataFrame, column: str, now: datetime | Column, days: int = 30) -
     return df.where(F.col(column) >= at.cast("timestamp") - F.make_interval(days=F.lit(days)))
 
 
+def fresh(df: DataFrame, column: str, now: datetime, age: timedelta = timedelta(hours=1)) -> DataFrame:
+    """Rows not older than ``age`` before ``now``."""
+    return df.where(F.col(column) >= F.lit(now - age).cast("timestamp"))
+
+
+def exists(df: DataFrame, criteria: dict, name: str = "found") -> DataFrame:
+    """One row that says whether any row equals the given values."""
+    return matching(df, criteria).limit(1).agg((F.count("*") > 0).alias(name))
+
+
 def older(df: DataFrame, column: str, now: datetime | Column, days: int) -> DataFrame:
     at = now if isinstance(now, Column) else F.lit(now)
     return df.where(F.col(column) < at.cast("timestamp") - F.make_interval(days=F.lit(days)))
@@ -64,6 +74,16 @@ def top(df: DataFrame, limit: int, *order: Column) -> DataFrame:
     return df.orderBy(*order).limit(limit)
 
 
+def counts_by(df: DataFrame, *columns: str) -> DataFrame:
+    """The number of rows for each value."""
+    return df.groupBy(*columns).agg(F.count("*").alias("count"))
+
+
+def newest(df: DataFrame, limit: int, column: str = "created_at", id_col: str = "id") -> DataFrame:
+    """The ``limit`` last rows by a time, those without one last."""
+    return top(df, limit, F.desc_nulls_last(column), F.desc(id_col))
+
+
 def ranked(df: DataFrame, *order: Column, name: str = "rank") -> DataFrame:
     """Ranks from 1. The window has no partition, so it stands only after a limit."""
     return df.withColumn(name, F.row_number().over(Window.orderBy(*order)))

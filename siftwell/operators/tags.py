@@ -33,17 +33,18 @@ def paths(tags: DataFrame, separator: str = " > ") -> DataFrame:
     )
 
 
-def ancestors(tags: DataFrame, tag_id: int | None = None) -> DataFrame:
-    """tag_id, ancestor_id and distance, of one tag or of all."""
+def ancestors(tags: DataFrame, tag_id: int | None = None, own: DataFrame | None = None) -> DataFrame:
+    """tag_id, ancestor_id and distance, of one tag, of those in ``own`` (rows of tags), or of all."""
     start = "" if tag_id is None else f"AND id = {int(tag_id)}"
-    return _recursive(
-        tags,
+    return tags.sparkSession.sql(
         f"""
         WITH RECURSIVE up (tag_id, ancestor_id, distance) AS (
-            SELECT id, parent_id, 1 FROM {{tags}} WHERE parent_id IS NOT NULL {start}
+            SELECT id, parent_id, 1 FROM {{own}} WHERE parent_id IS NOT NULL {start}
             UNION ALL
             SELECT u.tag_id, t.parent_id, u.distance + 1 FROM up u JOIN {{tags}} t ON t.id = u.ancestor_id WHERE t.parent_id IS NOT NULL AND u.distance < {MAX_DEPTH}
         ) SELECT * FROM up""",
+        tags=tags,
+        own=tags if own is None else own,
     )
 
 
@@ -174,7 +175,7 @@ def tags_of_section(tags: DataFrame, section_tags: DataFrame, section_id: int, w
     own = tags.join(section_tags.where(F.col("section_id") == section_id).select(F.col("tag_id").alias("__t")), F.col("id") == F.col("__t"), "left_semi")
     if not with_ancestors:
         return own
-    up = ancestors(tags).join(own.select(F.col("id").alias("__t")), F.col("tag_id") == F.col("__t"), "left_semi").select("ancestor_id").distinct()
+    up = ancestors(tags, own=own).select("ancestor_id").distinct()
     return own.unionByName(tags.join(up, F.col("id") == F.col("ancestor_id"), "left_semi")).dropDuplicates(["id"])
 
 
@@ -183,6 +184,19 @@ def tag_lists(section_tags: DataFrame, tags: DataFrame) -> DataFrame:
     return section_tags.join(tags.select(F.col("id").alias("tag_id"), "name"), "tag_id").groupBy("section_id").agg(F.sort_array(F.collect_set("name")).alias("tags"))
 
 
+def resolved(tags: DataFrame, references: list) -> DataFrame:
+    """The tags that ids and names refer to, each once; one that doesn't exist raises. The references are what a caller names."""
+    ids, names = [r for r in references if isinstance(r, int)], [r for r in references if isinstance(r, str)]
+    if len(ids) + len(names) < len(references):
+        raise ValueError("a tag is referred to by its id or its name")
+    found = tags.where(F.col("id").isin(ids) | F.col("name").isin(names))
+    known = found.select("id", "name").collect()
+    missing = [r for r in references if r not in {k for row in known for k in row}]
+    if missing:
+        raise ValueError(f"no tag {missing[0]}")
+    return found
+
+
 def topics_by_tag(topics: DataFrame, topic_tags: DataFrame, tag_id: int) -> DataFrame:
     own = topic_tags.where(F.col("tag_id") == tag_id).select(F.col("research_topic_id").alias("__t"))
     return topics.join(own, F.col("id") == F.col("__t"), "left_semi")

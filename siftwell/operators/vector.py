@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftwell.functions.vectors import cosine, cosine_to, literal, mean, mean_column
+from siftwell.operators.relational import containing, matching, present
 
 ROUND = 1e-12
 
@@ -43,6 +44,20 @@ def cascade(vectors: DataFrame, query: list[float], limit: int = 10, threshold:
     return found.withColumn("__tier", tier).where(F.col("similarity") > F.col("__tier")).drop("__tier")
 
 
+def filtered_after(vectors: DataFrame, query: list[float], limit: int = 10, allowed: DataFrame | None = None, values: dict | None = None, id_col: str = "id", vector_col: str = "vector") -> DataFrame:
+    """Of the ``limit`` nearest vectors those whose id is in ``allowed`` (column id) and whose columns equal ``values``; so fewer than ``limit`` may stay.
+
+    Filter the vectors before ``nearest`` to get ``limit`` rows.
+    """
+    found = matching(nearest(vectors, query, limit, id_col, vector_col), values or {})
+    return found if allowed is None else present(found, allowed, id_col, "id")
+
+
+def cross_modal(vectors: DataFrame, query: list[float], limit: int = 10, **options) -> DataFrame:
+    """The nearest vectors to one of another kind of content; vectors of all kinds share one space."""
+    return nearest(vectors, query, limit, **options)
+
+
 def within(vectors: DataFrame, query: list[float], radius: float, limit: int = 100, id_col: str = "id", vector_col: str = "vector") -> DataFrame:
     """Vectors at a cosine distance below the radius."""
     return similar(vectors, query, limit, 1 - radius, id_col, vector_col)
@@ -106,6 +121,20 @@ def like_row(vectors: DataFrame, row_id, limit: int = 5, id_col: str = "id", vec
     return nearest(vectors, list(row[0]), limit, id_col, vector_col) if row else vectors.withColumn("similarity", F.lit(0.0)).limit(0)
 
 
+def like_section(sections: DataFrame, vectors: DataFrame, section_id: int, limit: int = 5, shown: int = 101) -> DataFrame:
+    """section_id and similarity of the sections nearest to one, itself among them.
+
+    A section without a vector gives the other sections that contain the first ``shown`` characters
+    of its text, in order of their ids and with a null similarity.
+    """
+    row = vectors.where(F.col("section_id") == section_id).select("vector").first()
+    if row and row[0]:
+        return nearest(vectors, list(row[0]), limit, "section_id").select("section_id", "similarity")
+    text = sections.where(F.col("section_id") == section_id).select(F.substring(F.coalesce("content", F.lit("")), 1, shown)).first()
+    others = containing(sections.where(F.col("section_id") != section_id), text[0], "content") if text else sections.limit(0)
+    return others.select("section_id", F.lit(None).cast("double").alias("similarity")).orderBy("section_id").limit(limit)
+
+
 def centroids(vectors: DataFrame, count: int = 100, dimensions: int | None = None, id_col: str = "id", vector_col: str = "vector", sample: int = 20000, rounds: int = 10) -> list[list[float]]:
     """Centroids of a bounded sample, by k-means on the driver; fitting needs no more rows at any size."""
     import numpy as np

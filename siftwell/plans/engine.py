@@ -8,9 +8,11 @@ the driver.
 from __future__ import annotations
 
 import time
+import uuid
 from collections.abc import Callable
 from datetime import UTC, date, datetime
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,6 +24,7 @@ from siftwell.operators.chunking import chunk_documents
 from siftwell.operators.logs import entry
 from siftwell.plans import answer as answers
 from siftwell.plans.query import parse, positive_words, relax, summary, validate
+from siftwell.schemas import TABLES
 from siftwell.sources import embeddings as embedding_source
 from siftwell.sources import readers
 from siftwell.sources.store import Store
@@ -103,20 +106,22 @@ class Engine:
         read = readers.documents(self.spark, path, pattern, options=options)
         known = self.store.read("source_documents").select(F.col("id").alias("__id"), F.col("url").alias("__url"))
         found = read.join(known, F.col("url") == F.col("__url"), "left").withColumn("id", F.coalesce("__id", "id")).drop("__id", "__url")
+        found = found.persist(StorageLevel.DISK_ONLY)  # several actions need it; what a lost executor held is read again
         rows = found.withColumns({"created_at": F.lit(now), "updated_at": F.lit(now), "publication_date": F.lit(options.get("publication_date")).cast("date")})
         self.store.upsert("source_documents", rows)
         c = self.config.chunk
         chunks = chunk_documents(found.where("error is null"), strategy, doc_type=doc_type, limit=c.tokens, size=c.characters, overlap=c.overlap)
         sections = chunks.withColumns({"id": F.xxhash64("document_id", "section_number"), "created_at": F.lit(now), "updated_at": F.lit(now), "section_title": F.substring("section_title", 1, 500)})
-        ids = [r[0] for r in found.select("id").collect()]
-        old = self.store.read("source_sections").where(F.col("document_id").isin(ids))
-        if not old.isEmpty():
-            self.store.delete("source_sections", F.col("document_id").isin(ids))
+        ids = found.select(F.col("id").alias("document_id"))
+        self.store.delete_keys("source_sections", ids, ("document_id",))
         self.store.upsert("source_sections", sections)
         if embed and self.provider:
             self.embed_missing()
-        mine = self.store.read("source_sections").where(F.col("document_id").isin(ids))
-        return {"documents": len(ids), "sections": mine.count(), "failed": found.where("error is not null").count()}
+        mine = self.store.read("source_sections").join(ids, "document_id", "left_semi")
+        counts = found.agg(F.count("*").alias("documents"), F.count("error").alias("failed")).first()
+        out = {"documents": counts.documents, "sections": mine.count(), "failed": counts.failed}
+        found.unpersist()
+        return out
 
     def embed_missing(self) -> dict:
         now = self.clock()
@@ -163,7 +168,7 @@ class Engine:
         one = own.groupBy("section_id").agg(F.max_by("vector", F.coalesce("created_at", F.lit(0).cast("timestamp"))).alias("vector"))
         return one.join(sections.select(F.col("section_id").alias("__s")), F.col("section_id") == F.col("__s"), "left_semi")
 
-    def search(self, query: str, search_type: str = "hybrid", limit: int | None = None, alpha: float | None = None, filters: dict | None = None, query_vector: list[float] | None = None, search_tags: list[int] | None = None, expected_categories: list[str] | None = None, category: str | None = None, explain: bool = False, log: bool = True) -> dict:
+    def search(self, query: str, search_type: str = "hybrid", limit: int | None = None, alpha: float | None = None, filters: dict | None = None, query_vector: list[float] | None = None, search_tags: list[int] | None = None, expected_categories: list[str] | None = None, category: str | None = None, explain: bool = False, highlight: bool = False, log: bool = True) -> dict:
         """results, total_count, score_stats, language, search_type and execution_time_ms; what fails gives no results and an error."""
         if search_type not in TYPES:
             raise InvalidParameterError(f"unknown search type {search_type}")
@@ -181,6 +186,8 @@ class Engine:
                 found = relational.preferred_first(found, category, expected_categories, "rank").drop("rank").withColumnRenamed("boosted_rank", "rank")
             if explain and "combined_score" in found.columns:
                 found = found.withColumn("explanation", explanation(F.col("combined_score"), F.col("vector_score"), F.col("text_score")))
+            if highlight:
+                found = found.withColumn("snippet", lexical.highlight(F.col("content"), positive_words(parse(text))))
             rows = found.orderBy("rank").collect()
             out |= {"results": [r.asDict() for r in rows], "total_count": len(rows), "has_more": len(rows) >= count}
             scores = [r[self._score(search_type)] for r in rows]
@@ -192,6 +199,25 @@ class Engine:
             self._log(out)
         return out
 
+    def quick_search(self, query: str, limit: int = 10) -> list[dict]:
+        """section_id and rank_score of the best sections by text; nothing for a query that fails."""
+        try:
+            return [r.asDict() for r in lexical.quick(self._sections(), validate(query, *self.config.search.query_length), limit).collect()]
+        except (EngineError, ValueError):
+            return []
+
+    def search_with_highlighting(self, query: str, **options) -> dict:
+        return self.search(query, "fulltext", **{**options, "highlight": True})
+
+    def advanced_search(self, query: str, filters: dict, **options) -> dict:
+        return self.search(query, "fulltext", **{**options, "filters": filters})
+
+    def similar_sections(self, section_id: int, limit: int = 5) -> list[dict]:
+        """Sections like one: by its vector, itself among them, or by the beginning of its text where it has none."""
+        sections = self._sections()
+        found = vector.like_section(sections, self._vectors(sections), section_id, limit)
+        return [r.asDict() for r in found.collect()]
+
     def _score(self, search_type: str) -> str:
         return {"hybrid": "rerank_score", "vector": "similarity", "fulltext": "rank_score"}[search_type]
 
@@ -225,9 +251,9 @@ class Engine:
         return list(answers.with_retry(lambda: self.provider([text]))[0])
 
     def _log(self, out: dict) -> None:
-        row = entry(self.spark, self.store.next_id("search_logs"), str(out["query"]), out["search_type"], self.clock(), out["execution_time_ms"], out["total_count"], error=out.get("error"))
+        row = entry(self.spark, uuid.uuid4().int >> 65, str(out["query"]), out["search_type"], self.clock(), out["execution_time_ms"], out["total_count"], error=out.get("error"))
         try:
-            self.store.upsert("search_logs", row)
+            self.store.append("search_logs", row)
         except EngineError:  # a search doesn't fail for its log
             pass
 
@@ -277,6 +303,36 @@ class Engine:
             self.store.insert_missing("research_topic_tags", self.spark.createDataFrame([(key, t, self.clock()) for t in tag_ids], "research_topic_id long, tag_id long, created_at timestamp"))
         return key
 
+    def get_topic(self, topic_id: int) -> dict | None:
+        """A topic with its tags' ids and the number of its sections."""
+        row = relational.matching(self.store.read("research_topics"), {"id": topic_id}).first()
+        if not row:
+            return None
+        own = lambda name: relational.matching(self.store.read(name), {"research_topic_id": topic_id})
+        return {**row.asDict(), "tag_ids": [r[0] for r in own("research_topic_tags").select("tag_id").orderBy("tag_id").collect()], "section_count": own("research_topic_sections").count()}
+
+    def update_topic(self, topic_id: int, name: str | None = None, description: str | None = None, tag_ids: list[int] | None = None) -> dict | None:
+        """Changes what is given; with ``tag_ids`` they replace the topic's tags."""
+        old = relational.matching(self.store.read("research_topics"), {"id": topic_id}).first()
+        if not old:
+            return None
+        kept = (topic_id, old.name if name is None else name, old.description if description is None else description, old.created_at)
+        self.store.upsert("research_topics", self.spark.createDataFrame([kept], TABLES["research_topics"].schema))
+        if tag_ids is not None:
+            bridge = tags.unlinked(self.store.read("research_topic_tags"), "research_topic_id", topic_id)
+            fresh = self.spark.createDataFrame([(topic_id, t, self.clock()) for t in dict.fromkeys(tag_ids)], TABLES["research_topic_tags"].schema)
+            self.store.write("research_topic_tags", bridge.unionByName(fresh))
+        return self.get_topic(topic_id)
+
+    def delete_topic(self, topic_id: int) -> dict:
+        return self.store.delete("research_topics", F.col("id") == topic_id)
+
+    def remove_old_embeddings(self, days: int = 30) -> dict:
+        return self.store.delete_older("embeddings", self.clock(), days)
+
+    def remove_old_logs(self, days: int = 30) -> dict:
+        return self.store.delete_older("search_logs", self.clock(), days)
+
     def list_topics(self, page: int = 1, per_page: int = 20, search: str | None = None) -> dict:
         rows = relational.counted(self.store.read("research_topics"), self.store.read("research_topic_sections"), "id", "research_topic_id")
         if search:

@@ -219,7 +219,7 @@ def text_config(spark, sf):
 
 @query(None)
 def text_highlight(spark, sf):
-    return sections(spark, sf).where(F.col("language") == "en").select("section_id", lexical.highlight(F.col("content"), ["the", "and"]).alias("snippet"))
+    return sections(spark, sf).select("section_id", lexical.highlight(F.col("content"), ["the", "and"]).alias("snippet"))
 
 
 @query(f"WITH {W}, x AS (SELECT DISTINCT section_id, unnest(cw) AS word FROM w) SELECT word, count(*) AS sections, levenshtein(word, 'thinn')::INT AS distance FROM x WHERE starts_with(word, 'thin') GROUP BY 1 ORDER BY 3, 2 DESC, 1 LIMIT 3")
@@ -447,7 +447,7 @@ def content_by_source(spark, sf):
 
 @query("SELECT lang AS language, count(*) AS count FROM documents GROUP BY 1")
 def language_distribution(spark, sf):
-    return table(spark, sf, "documents").groupBy(F.col("lang").alias("language")).agg(F.count("*").alias("count"))
+    return relational.counts_by(table(spark, sf, "documents").withColumnRenamed("lang", "language"), "language")
 
 
 @query("SELECT count(*) AS total, count(DISTINCT lang) AS languages, max(n_chars) AS longest FROM documents")

@@ -2,7 +2,7 @@
 
 A write makes a new version beside the old one and then moves a pointer file,
 so readers see the one or the other. Deletes and upserts are rewrites without
-the rows that go; appends that need no key check add files to a version.
+the rows that go; appends of rows with new keys add files to a version.
 """
 
 from __future__ import annotations
@@ -58,10 +58,15 @@ class Store:
         out = fs.create(fresh, True)
         out.write(bytearray(version + "\n", "utf-8"))
         out.close()
-        _, pointer = self._fs(self._pointer(name))
-        fs.delete(pointer, False)
-        if not fs.rename(fresh, pointer):
-            raise DatabaseError(f"the new version of {name} could not be made current")
+        self._replace(fresh, self._fs(self._pointer(name))[1])
+
+    def _replace(self, fresh, pointer) -> None:
+        """Moves a file over another in one step, so that a crash leaves the one or the other."""
+        fs_package = self.spark._jvm.org.apache.hadoop.fs
+        files = fs_package.FileContext.getFileContext(pointer.toUri(), self.spark._jsc.hadoopConfiguration())
+        options = self.spark.sparkContext._gateway.new_array(fs_package.Options.Rename, 1)
+        options[0] = fs_package.Options.Rename.OVERWRITE
+        files.rename(fresh, pointer, options)
 
     def vacuum(self, name: str) -> int:
         """Deletes versions that aren't current, and returns their number."""
@@ -73,12 +78,23 @@ class Store:
         return len(old)
 
     def append(self, name: str, rows: DataFrame) -> None:
-        """Adds rows; of rows with one key the new one stays."""
-        self.upsert(name, rows)
+        """Adds files with ``rows`` to the current version, whose keys are new by the way they were made; nothing else is read or written."""
+        rows = self._shaped(name, rows)
+        if bad := violations(rows, name).limit(1).collect():
+            raise DatabaseError(f"rows of {name} break {', '.join(bad[0]['broken'])}", {"row": bad[0].asDict()})
+        folder = self.version(name)
+        if folder is None:
+            self.write(name, rows, checked=False)
+        else:
+            rows.write.mode("append").parquet(folder)
+
+    def _shaped(self, name: str, rows: DataFrame) -> DataFrame:
+        """The table's columns of ``rows``, null where they are missing."""
+        return rows.select(*(F.col(f.name).cast(f.dataType).alias(f.name) if f.name in rows.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in TABLES[name].schema))
 
     def upsert(self, name: str, rows: DataFrame, key: tuple[str, ...] | None = None) -> None:
         key = list(key or TABLES[name].key)
-        fresh = rows.select(*(F.col(f.name).cast(f.dataType).alias(f.name) if f.name in rows.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in TABLES[name].schema))
+        fresh = self._shaped(name, rows)
         order = [F.desc_nulls_last("updated_at")] if "updated_at" in fresh.columns else [F.desc_nulls_last("created_at")] if "created_at" in fresh.columns else [F.lit(0)]
         fresh = latest(fresh, key, *order).select(*[f.name for f in TABLES[name].schema])
         kept = self.read(name).join(fresh.select(*key), key, "left_anti").select(*fresh.columns)
@@ -95,9 +111,12 @@ class Store:
 
     def delete(self, name: str, condition: Column) -> dict[str, int]:
         """Deletes rows and what points to them; the numbers of rows that went by table."""
-        gone = self.read(name).where(condition).select(*TABLES[name].key)
+        return self.delete_keys(name, self.read(name).where(condition).select(*TABLES[name].key), TABLES[name].key)
+
+    def delete_keys(self, name: str, keys: DataFrame, key: tuple[str, ...]) -> dict[str, int]:
+        """As delete, of the rows whose ``key`` columns are among ``keys``."""
         counts: dict[str, int] = {}
-        self._delete(name, gone, list(TABLES[name].key), counts)
+        self._delete(name, keys.select(*key).distinct(), list(key), counts)
         return counts
 
     def _delete(self, name: str, gone: DataFrame, key: list[str], counts: dict[str, int]) -> None:

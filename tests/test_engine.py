@@ -67,6 +67,41 @@ def test_from_files_to_answers(engine, tmp_path):
     assert "ruby" in engine.suggestions("ru")
 
 
+def test_search_forms_and_logs(engine, tmp_path):
+    marked = engine.search_with_highlighting("ruby language")
+    assert marked["results"][0]["snippet"].startswith("<mark>Ruby</mark> is a programming <mark>language")
+    quick = engine.quick_search("ruby")
+    assert quick and set(quick[0]) == {"section_id", "rank_score"} and engine.quick_search("x") == []
+    assert engine.advanced_search("ruby", {"language": "zh"})["total_count"] == 0
+    like = engine.similar_sections(quick[0]["section_id"])
+    assert like[0]["section_id"] == quick[0]["section_id"] and like[0]["similarity"] == pytest.approx(1.0)
+    engine.search("Ruby", "fulltext")
+    logs = engine.search_logs()
+    assert len({r["id"] for r in logs}) == len(logs) == 3 and all(r["id"] > 0 for r in logs)
+    folder = engine.store.version("search_logs")
+    engine.search("pasta", "fulltext")
+    assert engine.store.version("search_logs") == folder and len(engine.search_logs()) == 4  # appended, not rewritten
+    assert engine.remove_old_logs() == {"search_logs": 0} and engine.remove_old_embeddings(0) == {"embeddings": 0}
+
+
+def test_ingest_replaces_a_document(engine, tmp_path):
+    (tmp_path / "docs" / "ruby.md").write_text("# Ruby\nRuby is old.\n")
+    assert engine.add_documents(str(tmp_path / "docs"), "ruby.md")["documents"] == 1
+    texts = [r.content for r in engine.store.read("source_sections").collect()]
+    assert len(texts) == 3 and not any("Gems" in t for t in texts) and any("Ruby is old" in t for t in texts)
+    assert engine.statistics()["embedding_count"] == 3
+
+
+def test_topic_life(engine):
+    engine.create_tags(["a", "b", "c"])
+    ids = {t["name"]: t["id"] for t in engine.list_tags()["tags"]}
+    topic = engine.create_topic("One", "first", [ids["a"], ids["b"]])
+    assert engine.get_topic(topic)["tag_ids"] == sorted([ids["a"], ids["b"]]) and engine.get_topic(99) is None
+    changed = engine.update_topic(topic, name="Two", tag_ids=[ids["c"]])
+    assert (changed["name"], changed["description"], changed["tag_ids"]) == ("Two", "first", [ids["c"]]) and engine.update_topic(99) is None
+    assert engine.delete_topic(topic)["research_topic_tags"] == 1 and engine.list_topics()["total"] == 0
+
+
 def test_tags_topics_and_removal(engine):
     doc = next(d for d in engine.list_documents()["documents"] if d["title"] == "Ruby")
     sections = [r.id for r in engine.store.read("source_sections").where(F.col("document_id") == doc["id"]).collect()]
@@ -98,8 +133,9 @@ def test_store(spark, tmp_path):
     assert {r.id: r.name for r in store.read("tags").collect()} == {1: "a", 2: "B", 3: "c"}
     assert store.delete("tags", F.col("id") == 1) == {"tags": 1, "section_tags": 0, "research_topic_tags": 0}
     assert {r.id: r.parent_id for r in store.read("tags").collect()} == {2: None, 3: 2}
-    with pytest.raises(DatabaseError):
-        store.write("tags", tags((9, " ", None)))
+    for change in (store.write, store.append):
+        with pytest.raises(DatabaseError):
+            change("tags", tags((9, " ", None)))
     assert store.vacuum("tags") >= 2 and store.read("tags").count() == 2
     assert store.insert_missing("tags", tags((3, "c", None), (4, "d", None))) == 1
     store.truncate()

@@ -315,3 +315,20 @@ def test_popularity_over_time(spark):
     rows = [("a", datetime(2024, 5, 1, 10)), ("a", datetime(2024, 5, 1, 12)), ("b", datetime(2024, 5, 2, 11))]
     got = popularity(spark.createDataFrame(rows, "query string, created_at timestamp"), "24 hours", "24 hours").collect()
     assert sorted((r.query, r["count"]) for r in got) == [("a", 2), ("b", 1)]
+
+
+def test_vectors_as_text(spark):
+    from siftwell.functions.vectors import parsed
+
+    rows = spark.createDataFrame([("[1, 2.5]",), ("[]",), ("no",), (None,)], "t string").select(parsed(F.col("t")).alias("v")).collect()
+    assert [r.v for r in rows] == [[1.0, 2.5], [], None, None]
+
+
+def test_tag_references(spark):
+    from siftwell.operators.tags import resolved
+
+    rows = spark.createDataFrame([(1, "a"), (2, "b")], "id long, name string")
+    assert sorted(r.id for r in resolved(rows, [1, "b", "a"]).collect()) == [1, 2]
+    for wrong in ([3], ["c"], [1.5]):
+        with pytest.raises(ValueError):
+            resolved(rows, wrong)

@@ -5,6 +5,7 @@ import os
 import duckdb
 import pytest
 
+from siftwell.plans import stored_queries  # noqa: F401  adds its queries
 from siftwell.plans.queries import ORACLE_SQL, QUERIES
 
 
