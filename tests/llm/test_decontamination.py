@@ -94,3 +94,26 @@ def test_copies_without_a_common_4_gram_are_found(spark):
     assert len(want) > 90
     got = contaminated(spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, ITEMS)).collect()
     assert {(r.doc_id, r.item_id) for r in got} == want and len(got) == len(want)
+
+
+def test_found_pairs_equal_all_alignments(spark):
+    """Every pair of document and item, aligned in full, about the threshold from both sides."""
+    rng = random.Random(21)
+    vocabulary = [f"w{k}" for k in range(60)]
+    items = [(k, [rng.choice(vocabulary) for _ in range(rng.choice([5, 8, 14, 25]))]) for k in range(12)]
+    docs = []
+    for d in range(120):
+        text = [rng.choice(vocabulary) for _ in range(rng.randrange(0, 30))]
+        if d % 3:
+            copy, edits = [], rng.random() * 0.45
+            for w in rng.choice(items)[1]:
+                r = rng.random() / (edits or 1)
+                copy += [] if r < 1 / 3 else [rng.choice(vocabulary)] if r < 2 / 3 else [w, rng.choice(vocabulary)] if r < 1 else [w]
+            at = rng.randrange(len(text) + 1)
+            text[at:at] = copy
+        docs.append((d, text))
+    want = {(d, i): score for d, text in docs for i, item in items if (score := brute_align(item, text) / (MATCH * len(item))) >= 0.6}
+    frame = lambda rows, names: spark.createDataFrame([(k, " ".join(words)) for k, words in rows], names)
+    found = contaminated(frame(docs, "doc_id long, text string"), frame(items, "item_id long, text string")).collect()
+    assert len(want) > 40 and {(r.doc_id, r.item_id) for r in found} == set(want)
+    assert all(abs(r.score - want[r.doc_id, r.item_id]) < 1e-6 for r in found)
